@@ -116,6 +116,7 @@ def _unite_containers(names: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)  # without the input's not-null marks
             t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             ids, seen = _group_ids([t.column(n).combine_chunks() for n in names])
             parts = [decode_container(x) for x in t.column("runs").to_pylist()]
