@@ -2,8 +2,8 @@
 
 *Fast path*: the lines of a block are parsed column-wise in C++ - one extraction of all fields, one cast
 a numeric column, a few comparisons. The first line that doesn't fit makes the block fail as a whole.
-A failing block is *bisected*: halves are parsed again in bulk, down to single lines. Only single
-lines that still fail are *diagnosed strictly*, by a character-wise parser which either accepts the line
+A failing block is *bisected*: halves are parsed again in bulk, down to a few lines. Those that
+still fail are *diagnosed strictly*, line by line, by a character-wise parser which either accepts the line
 (quoted fields, white space, other tags) or names the first reason that fits:
 
 ``quoting``  a header breaks the quoting rule,
@@ -32,12 +32,14 @@ from pyspark.sql import types as T
 
 #: Lines that the fast path takes at once.
 BLOCK = 4096
+#: Failing blocks are halved down to so many lines; each line of these is parsed strictly.
+LEAF = 8
 MAX_TAXID = 2**32 - 1
 MAX_SIZE = 2**63 - 1
 SPACE = " \t\r\n"
 
 _HEADER = r'(?P<asm>[^|" \t\r\n]+)\|(?P<taxid>[0-9]+)\|(?P<species_taxid>[0-9]+)\|(?P<acc>[^|" \t\r\n]+)\|(?P<size>[0-9]+)(?:\|(?P<sampled>[0-9]+))?'
-FAST_PATTERN = {"fasta": rf"^>{_HEADER}$", "sq": rf"^@SQ\tSN:{_HEADER}\tLN:(?P<length>[0-9]+)$"}
+FAST_PATTERN = {"fasta": rf"^>{_HEADER}$", "sq": rf"^@SQ\tSN:{_HEADER}\tLN:(?P<length>[0-9]+)(?:\t(?:AH|AN|AS|DS|M5|SP|TP|UR):[^\t]*)*$"}
 TEXT = ("asm", "acc")
 NUMBERS = ("taxid", "species_taxid", "size", "sampled", "length")
 
@@ -160,8 +162,8 @@ def _bisect(kind: str, lines: pa.Array, rows: np.ndarray, done: list[tuple[np.nd
         values = parse_block(kind, part)
         if values is not None:
             done.append((at, values))
-        elif len(part) == 1:
-            strict.append(int(at[0]))
+        elif len(part) <= LEAF:
+            strict += at.tolist()
         else:
             half = len(part) // 2
             todo += [(part.slice(half), at[half:]), (part.slice(0, half), at[:half])]
@@ -175,7 +177,8 @@ def _parse(names: list[str], kind_col: str, line_col: str):
             n = batch.num_rows
             kinds = batch.column(names.index(kind_col))
             lines = batch.column(names.index(line_col))
-            is_record = pc.fill_null(pc.greater(pc.utf8_length(pc.utf8_trim(lines, SPACE)), 0), False)
+            lines = pc.utf8_trim(lines, SPACE)
+            is_record = pc.fill_null(pc.greater(pc.utf8_length(lines), 0), False)
             strict: list[int] = []
             done: list[tuple[np.ndarray, dict]] = []
             known = np.zeros(n, bool)
