@@ -337,7 +337,7 @@ def pvalue_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def abundance_renorm(spark: SparkSession, d: str) -> DataFrame:
     rows = _known_all(spark, d).select("taxid", render.round5(F.col("depth")).alias("abundance"))
-    return profile.renormalise(rows).select("taxid", F.round("abundance", 4).alias("abundance"))
+    return profile.renormalise(rows).select("taxid", "abundance")
 
 
 def _hosts(spark: SparkSession, d: str) -> DataFrame:
@@ -535,7 +535,7 @@ SELECT taxid, eb > 0 AND coalesce(b / nullif(eb, 0) BETWEEN 0.75 AND 1.5, false)
 p AS (SELECT asm, CASE WHEN lo < 0.8 THEN NULL ELSE (1 - lo) * 1e-4 END AS c, CASE WHEN hi < 0.8 THEN NULL ELSE (1 - hi) * 1e-4 END AS h FROM a)
 SELECT asm, NOT coalesce(c < 1e-5 AND h < 1e-5, false) AS default_ok, coalesce(c >= 1e-5 AND h >= 1e-5, false) AS strict_ok FROM p""",
     "abundance_renorm": f"""WITH RECURSIVE {_CLASSES}, v AS (SELECT taxid, {_R5.format("depth")} AS a FROM uni)
-SELECT taxid, round({_R5.format("a / (SELECT sum(a) FROM v) * 100")}, 4) AS abundance FROM v""",
+SELECT taxid, {_R5.format("a / (SELECT sum(a) FROM v) * 100")} AS abundance FROM v""",
     "host_annotation": f"""WITH RECURSIVE {_LINEAGE},
 h AS (SELECT taxid, parent_taxid AS host, taxid % 5 = 0 AS unknown FROM cn WHERE rank = 'species' AND (parent_taxid IS NOT NULL OR taxid % 5 = 0)),
 hit AS (SELECT h.taxid FROM h LEFT JOIN m1 ON m1.old_taxid = h.host LEFT JOIN tree t ON t.taxid = coalesce(m1.new_taxid, h.host) WHERE NOT unknown AND (h.host = 2 OR coalesce(list_contains(t.way, 2), false)))
