@@ -6,7 +6,9 @@ circles.
 
 ``build_hierarchy`` extends paths level by level: the frontier starts at the roots and is joined to
 the children of its nodes. ``LEVELS_PER_JOB`` levels are planned as one job, and what they reached is
-checkpointed, so the plan doesn't grow with the depth and lost executors cost one job at most. Paths
+checkpointed, so the plan doesn't grow with the depth and lost executors cost one job at most. Once no
+more than ``LOCAL_NODES`` nodes are left (counted, whatever the size of the whole), the same levels are
+walked on the driver: a long thin chain then costs one job instead of one a few levels. Paths
 hold the ancestor pairs, from which descendants are counted or listed. Nodes that the frontier never
 reaches lie on or below a cycle; pointer doubling over those alone carries the smallest id of the
 next 2^k steps along, which on the cycle is the smallest id of the cycle.
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from cladeflow.session import cut_lineage
 
 LEVELS_PER_JOB = 8
+#: Nodes left from which the remaining levels are walked on the driver.
+LOCAL_NODES = 20_000
 
 
 def resolve_merged(merged: DataFrame, old: str = "old_taxid", new: str = "new_taxid") -> DataFrame:
@@ -66,31 +70,54 @@ def parent_links(nodes: DataFrame, resolved: DataFrame | None, node: str = "taxi
     return links.select("node", F.when(F.col("_n") != F.col("node"), F.col("_n")).alias("parent"))
 
 
-def build_hierarchy(links: DataFrame, levels_per_job: int = LEVELS_PER_JOB) -> tuple[DataFrame, DataFrame]:
+_REACHED = ["node", "parent", "root", "depth", "path"]
+
+
+def _walk_rest(rest: DataFrame, reached: DataFrame) -> DataFrame:
+    """The levels below ``reached`` within ``rest``, at most LOCAL_NODES rows, walked on the driver."""
+    above = reached.select(F.col("node").alias("_n"), "root", "depth", "path")
+    seeds = rest.join(above, rest["parent"] == above["_n"]).select("node", "parent", "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+    below: dict[int, list[int]] = {}
+    for r in rest.where(F.col("parent").isNotNull()).collect():
+        below.setdefault(r["parent"], []).append(r["node"])
+    found, level = [], [tuple(r) for r in seeds.collect()]
+    while level:
+        found += level
+        level = [(child, node, root, depth + 1, [*path, child]) for node, _, root, depth, path in level for child in below.get(node, ())]
+    return cut_lineage(rest.sparkSession.createDataFrame(found, reached.select(*_REACHED).schema))
+
+
+def build_hierarchy(links: DataFrame, levels_per_job: int = LEVELS_PER_JOB, local_nodes: int = LOCAL_NODES) -> tuple[DataFrame, DataFrame]:
     """From (node, parent) the reached nodes (node, parent, root, depth, path; the path runs from the root
     to the node) and the unreached (node, parent)."""
     links = cut_lineage(links)
+    left = links.count()
     frontier = links.where(F.col("parent").isNull()).select("node", "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
-    children = cut_lineage(links.where(F.col("parent").isNotNull()).repartition("parent"))
-    levels = [cut_lineage(frontier)]
-    while True:
-        top = levels[-1].select(F.col("node").alias("_p"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path").alias("_path"))
-        if len(levels) > 1:
-            deepest = levels[-1].agg(F.max("depth").alias("d")).first()["d"]
-            top = top.where(F.col("_d") == deepest)
+    reached = cut_lineage(frontier)
+    left -= reached.count()
+    if left > local_nodes:
+        children = cut_lineage(links.where(F.col("parent").isNotNull()).repartition("parent").sortWithinPartitions("parent"))
+    deepest = reached
+    while left > local_nodes:
+        top = deepest.select(F.col("node").alias("_p"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path").alias("_path"))
         grown: DataFrame | None = None
         for _ in range(levels_per_job):
             nxt = children.join(top, children["parent"] == top["_p"]).select("node", "parent", F.col("_r").alias("root"), (F.col("_d") + 1).alias("depth"), F.concat("_path", F.array("node")).alias("path"))
             grown = nxt if grown is None else grown.unionByName(nxt)
             top = nxt.select(F.col("node").alias("_p"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path").alias("_path"))
         block = cut_lineage(grown)
-        if block.isEmpty():
+        n, lowest = block.agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("d")).first()
+        if n == 0:
             break
-        levels.append(block)
-    reached = levels[0]
-    for block in levels[1:]:
+        left -= n
         reached = reached.unionByName(block)
-    return reached, links.join(reached.select("node"), "node", "left_anti")
+        deepest = block.where(F.col("depth") == lowest)
+    rest = links.join(reached.select("node"), "node", "left_anti")
+    if 0 < left <= local_nodes:
+        rest = cut_lineage(rest)
+        reached = reached.unionByName(_walk_rest(rest, reached))
+        rest = rest.join(reached.select("node"), "node", "left_anti")
+    return reached, rest
 
 
 def find_cycles(unreached: DataFrame) -> DataFrame:
