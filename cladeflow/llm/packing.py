@@ -3,7 +3,7 @@
 1. Items longer than the capacity are split into full pieces and a rest; nothing else is split.
 2. The *global histogram* of lengths (at most ``capacity`` bins, whatever the number of items) goes to the driver.
    *Dynamic programming* over it chooses ``BUCKETS`` boundaries such that rounding every item up to its bucket's
-   boundary pads as little as possible.
+   boundary pads as little as possible. No bucket spans a half, third, .. eighth of the capacity.
 3. *Token-budget batches*: what containers hold is planned by bucket, not by item. Buckets are taken from the
    longest boundary down; items of a bucket fill the containers with the least room that still fits
    (best fit), then new ones. A plan is a list of ranges: items number a .. b of a bucket go to
@@ -30,6 +30,8 @@ from cladeflow.session import cut_lineage
 
 CAPACITY = 2048
 BUCKETS = 128
+#: A length that fits so often into the capacity is never rounded up beyond it.
+EVEN_PARTS = range(2, 9)
 ITEMS_PER_SALT = 50_000
 
 
@@ -42,6 +44,10 @@ def choose_boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     items, size = np.concatenate(([0.0], np.cumsum(amount))), np.concatenate(([0.0], np.cumsum(amount * used)))
     i, j = np.arange(n + 1)[:, None], np.arange(1, n + 1)[None, :]
     cost = np.where(i < j, used[j - 1] * (items[j] - items[i]) - (size[j] - size[i]), np.inf)  # lengths i .. j-1 in one bucket
+    if buckets > 2 * len(EVEN_PARTS):
+        for k in EVEN_PARTS:
+            below = np.searchsorted(used, (len(counts) - 1) // k, side="right")
+            cost[(i < below) & (j > below)] = np.inf
     best = np.concatenate(([0.0], np.full(n, np.inf)))
     choices = []
     for _ in range(min(buckets, n)):
