@@ -11,9 +11,9 @@ before its shuffle. The driver holds one number per source of the target table.
 within their bounds). Sources of the target table without a token can't take part: their share is spread
 over the others in proportion, and they are reported with share 0.
 
-*Rounding into copies*: documents of a source are ordered by tokens, their rates summed, and a document gets as many
-copies as whole numbers are passed: r rounded down or up, never above the cap, and the tokens stay close
-to their sum since neighbours are of like length. Sources are cut into salted runs of about ``DOCS_PER_RUN``.
+*Rounding into copies*: a rate is rounded down or up, never above the cap, whichever brings the tokens given out so far closer
+to those due so far. Documents come longest first, so what long ones leave over is made up by short ones. Sources are
+cut into salted runs of about ``DOCS_PER_RUN``, each with its own account.
 
 Defined results: source names are compared in lower case, with ``_`` for ``-`` and blanks; documents of other or
 null sources, and those without tokens, take no part. Repeated rows are used each on its own.
@@ -22,9 +22,12 @@ null sources, and those without tokens, take no part. Repeated rows are used eac
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeflow.session import cut_lineage
 
@@ -83,11 +86,27 @@ def mix(docs: DataFrame, targets: DataFrame, fill: float = FILL) -> DataFrame:
     settings = spark.createDataFrame([(s, x[s], caps[s], means[s], -(-have[s]["docs"] // DOCS_PER_RUN)) for s in take], "source string, _x double, _cap int, _mean double, _runs long")
     rate = F.col("_cap") / (1 + F.exp(-F.greatest(F.least(F.col("_x") * F.col("n_tokens") / F.col("_mean"), F.lit(700.0)), F.lit(-700.0))))
     rated = named.join(F.broadcast(settings), "source").withColumn("rate", rate).withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.col("_runs")))
-    by = Window.partitionBy("source", "_run").orderBy("n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    offset = F.pmod(F.xxhash64("source", "_run"), F.lit(1 << 20)) / float(1 << 20)
-    summed = rated.withColumn("_sum", F.sum("rate").over(by) + offset)
-    copies = (F.floor("_sum") - F.floor(F.col("_sum") - F.col("rate"))).cast("int")
-    return summed.select("doc_id", "source", "n_tokens", F.round("rate", 9).alias("rate"), F.least(copies, F.col("_cap")).alias("copies"))
+    runs = rated.select("doc_id", "source", "n_tokens", "rate", "_run", "_cap").repartition("source", "_run").sortWithinPartitions("source", "_run", F.col("n_tokens").desc(), "doc_id")
+    schema = T.StructType([*runs.schema.fields, T.StructField("copies", T.IntegerType())])
+    return runs.mapInArrow(_round, schema).select("doc_id", "source", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
+
+
+def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by run, longest first; the run's account is carried from batch to batch."""
+    at, due = None, 0.0
+    for batch in batches:
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("source", "_run", "n_tokens", "rate", "_cap"))
+        copies = []
+        for source, run, tokens, rate, cap in zip(*columns):
+            if (source, run) != at:
+                at, due = (source, run), 0.0
+            due += rate * tokens
+            low = min(math.floor(rate), cap)
+            high = min(math.ceil(rate), cap)
+            k = high if abs(due - high * tokens) < abs(due - low * tokens) else low
+            due -= k * tokens
+            copies.append(k)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.int32())], [*batch.schema.names, "copies"])
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
