@@ -7,7 +7,7 @@ import os
 import shutil
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,10 +64,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.monotonically_increasing_id().alias("ordinal"), F.regexp_replace("value", r"^>", "").alias("r"))
     raw = raw.where(F.trim("r") != "")
     head = F.regexp_extract("r", r"^[^\r\n]*", 0)
-    parts = raw.select("ordinal", F.transform(F.split(head, r"\|"), F.trim).alias("fields"), F.regexp_replace(F.regexp_replace("r", r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
+    parts = raw.select("ordinal", F.transform(F.split(head, r"\|"), lambda x: F.trim(x)).alias("fields"), F.regexp_replace(F.regexp_replace("r", r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
     parts = parts.withColumn("fields", F.when(F.size("fields") >= 5, F.col("fields")).otherwise(F.raise_error(F.concat(F.lit("a header needs five fields: "), F.array_join("fields", "|")))))
-    from pyspark.sql import Window
-
     genome = Window.partitionBy(F.get("fields", F.lit(0))).orderBy("ordinal")
     size = F.last(F.get("fields", F.lit(4)).cast("long")).over(genome.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return parts.select(F.get("fields", F.lit(0)).alias("genome_id"), size.alias("genome_size"), (F.row_number().over(genome) - 1).alias("contig_idx"), "fields", "seq", "ordinal")
