@@ -560,3 +560,16 @@ x AS (SELECT *, total * 1000 >= goal AS enough, least(ceil(goal / 1000), total)
 y AS (SELECT *, least(floor(slots / total * want), slots) AS fl, slots / total * want - least(floor(slots / total * want), slots) AS rest FROM x),
 z AS (SELECT *, want - sum(fl) OVER (PARTITION BY genome_id) AS open, row_number() OVER (PARTITION BY genome_id ORDER BY (fl < slots) DESC, rest DESC, contig_idx) AS rk FROM y)
 SELECT genome_id, contig_idx, slots, CAST(fl + CASE WHEN fl < slots AND rk <= open THEN 1 ELSE 0 END AS BIGINT) AS quota, enough FROM z"""
+_PV = """WITH {current},
+by_acc AS (SELECT asm, acc, count(*) AS m0, CAST(sum(mapped_len) AS BIGINT) AS len FROM prs WHERE kept GROUP BY 1, 2),
+c AS (SELECT asm, acc, {m} AS m, {cells} AS cells FROM by_acc),
+o AS (SELECT *, 1 - pow(1 - 1 / cells, m) AS p, CAST(floor((1 - pow(1 - 1 / cells, m)) * cells * 0.9) AS BIGINT) AS k FROM c)"""
+SQL["pvalue_exact"] = f"""WITH RECURSIVE {_PV.format(current=_CURRENT, m="least(m0, 40)", cells="50 + len % 100")[5:]},
+occ AS (
+  SELECT DISTINCT cells AS n, 1 AS m, 1 AS k, CAST(1 AS DOUBLE) AS pr FROM o
+  UNION ALL SELECT n, m + 1, k + d, sum(pr * CASE WHEN d = 0 THEN k / n ELSE (n - k) / n END) FROM occ, (VALUES (0), (1)) t(d) WHERE m < 40 GROUP BY n, m, k + d)
+SELECT o.asm, o.acc, o.m, o.cells, o.k, round(CASE WHEN o.k = 0 THEN 0.0 WHEN o.k >= least(o.cells, o.m) THEN 1.0 ELSE sum(q.pr) FILTER (WHERE q.k <= o.k) END, 6) AS p
+FROM o JOIN occ q ON q.n = o.cells AND q.m = o.m GROUP BY 1, 2, 3, 4, 5"""
+SQL["pvalue_binomial"] = f"""{_PV.format(current=_CURRENT, m="m0", cells="200000 + len")},
+terms AS (SELECT *, unnest(range(k + 1)) AS i FROM o)
+SELECT asm, acc, m, cells, k, round(least(sum(exp(lgamma(cells + 1) - lgamma(i + 1) - lgamma(cells - i + 1) + i * ln(p) + (cells - i) * ln(1 - p))), 1.0), 6) AS p FROM terms GROUP BY 1, 2, 3, 4, 5"""
