@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.plans import taxa
+from cladeflow.session import cut_lineage
 from cladeflow.sources.tables import Taxonomy
 
 
@@ -86,7 +87,7 @@ def resolve(known: DataFrame, members: DataFrame, coverage: DataFrame, lineage:
     marked = support(members, known)
     one, pruned = prune(marked)
     none = marked.where(F.col("n_ok") == 0)
-    ancestors = lca_classes(none, lineage, tax)
+    ancestors = cut_lineage(lca_classes(none, lineage, tax))
     whole = marked.where(F.col("n_ok") == F.col("size")).select("class", "taxid", "n", "depth", "maplen")
     merged = whole.unionByName(pruned).groupBy("class", "taxid").agg(F.sum("n").alias("n"), F.sum("depth").alias("depth"), F.sum("maplen").alias("maplen"))
     kinds = ("breadth", "fixed_chunk", "flex_chunk")
@@ -102,7 +103,7 @@ def resolve_strain(known: DataFrame, members: DataFrame, lineage: DataFrame, tax
 
     marked = support(members, known)
     none = marked.where(F.col("n_ok") == 0)
-    ancestors = lca_classes(none, lineage, tax)
+    ancestors = cut_lineage(lca_classes(none, lineage, tax))
     trace = members.select("taxid").distinct().join(known.select("taxid"), "taxid", "left_anti").select("taxid", *[F.lit(v).alias(c) for v, c in zip(PSEUDO, ("n", "depth", "maplen"))])
     left = members.join(ancestors.select("class"), "class", "left_anti").select("class", "taxid", "n", "depth", "maplen")
     return add_up(known, lca_gains(none, ancestors)), left, known.select("taxid", "n", "depth", "maplen").unionByName(trace), ancestors
