@@ -208,3 +208,28 @@ walk AS (SELECT taxid, parent AS stop FROM lost UNION SELECT w.taxid, l.parent F
 looped AS (SELECT taxid FROM walk WHERE taxid = stop)
 SELECT min(stop) AS cycle_taxid, taxid FROM walk WHERE stop IN (SELECT taxid FROM looped) GROUP BY taxid""",
 }
+
+# A field of a header: plain, or quoted with doubled quotes inside, and white space around it.
+_WS = r"[ \t\r\n]*"
+_FIELD = rf'{_WS}(?:"(?:[^"]|"")*"{_WS}|[^|"]*)'
+_STRIP = "' ' || chr(9) || chr(13) || chr(10)"
+_HEADERS = rf"""WITH lines AS (SELECT raw_id, kind, trim(line, {_STRIP}) AS line FROM raw_headers WHERE line IS NOT NULL AND trim(line, {_STRIP}) <> ''),
+tagged AS (SELECT *, CASE WHEN kind = 'sq' THEN list_transform(string_split(line, chr(9))[2:], lambda t: trim(t, {_STRIP})) ELSE [] END AS tags FROM lines),
+heads AS (
+  SELECT raw_id, kind, CASE WHEN kind = 'fasta' THEN starts_with(line, '>') WHEN kind = 'sq' THEN trim(string_split(line, chr(9))[1], {_STRIP}) = '@SQ' ELSE false END AS known,
+    CASE WHEN kind = 'sq' THEN list_transform(list_filter(tags, lambda t: starts_with(t, 'SN:')), lambda t: substr(t, 4)) ELSE [substr(line, 2)] END AS hs,
+    CASE WHEN kind = 'sq' THEN list_transform(list_filter(tags, lambda t: starts_with(t, 'LN:')), lambda t: trim(substr(t, 4), {_STRIP})) ELSE ['1'] END AS lns FROM tagged),
+checked AS (
+  SELECT *, len(list_filter(hs, lambda h: NOT regexp_full_match(h, '{_FIELD}(?:\|{_FIELD})*'))) > 0 AS broken,
+    list_transform(regexp_extract_all(hs[1] || '|', '({_FIELD})\|', 1), lambda x: trim(x, {_STRIP})) AS raw FROM heads),
+cells AS (SELECT *, list_transform(raw, lambda x: CASE WHEN starts_with(x, '"') THEN trim(replace(substr(x, 2, length(x) - 2), '""', '"'), {_STRIP}) ELSE x END) AS f FROM checked),
+nums AS (
+  SELECT *, list_transform([f[2], f[3], f[5], coalesce(f[6], '1'), lns[1]], lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN try_cast(x AS HUGEINT) END) AS n FROM cells),
+judged AS (
+  SELECT *, CASE WHEN NOT known THEN 'columns' WHEN broken THEN 'quoting' WHEN len(hs) <> 1 OR len(lns) <> 1 OR len(f) NOT IN (5, 6) THEN 'columns'
+    WHEN f[1] = '' OR f[4] = '' OR regexp_matches(f[1], '[ \t\r\n]') OR regexp_matches(f[4], '[ \t\r\n]')
+      OR NOT coalesce(n[1] BETWEEN 1 AND 4294967295 AND n[2] BETWEEN 1 AND 4294967295 AND n[3] BETWEEN 1 AND 9223372036854775807 AND n[4] BETWEEN 1 AND 9223372036854775807 AND n[5] BETWEEN 1 AND 9223372036854775807, false)
+      OR n[4] > n[3] THEN 'value' END AS reason FROM nums)"""
+SQL["p3_found"] = f"{_HEADERS} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL"
+SQL["p3_valid"] = f"""{_HEADERS} SELECT raw_id, kind, f[1] AS asm, CAST(n[1] AS BIGINT) AS taxid, CAST(n[2] AS BIGINT) AS species_taxid, f[4] AS acc, CAST(n[3] AS BIGINT) AS genome_size,
+  CASE WHEN len(f) = 6 THEN CAST(n[4] AS BIGINT) END AS sampled_size, CASE WHEN kind = 'sq' THEN CAST(n[5] AS BIGINT) END AS length FROM judged WHERE reason IS NULL"""
