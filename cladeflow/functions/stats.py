@@ -125,8 +125,12 @@ def p_normal(n: int, p: float, k: int, upper: bool) -> float | None:
     return min(1.0, max(0.0, 1 - low if upper else low))
 
 
-def breadth_pvalue(reads: int, depth: float | None, breadth: float, expected: float | None, upper: bool) -> float | None:
-    """Exact for few reads and cells, else normal where it holds, else binomial. None where undefined."""
+def breadth_pvalue(reads: int, depth: float | None, breadth: float, expected: float | None, upper: bool | None) -> float | None:
+    """Exact for few reads and cells, else normal where it holds, else binomial. None where undefined. ``upper``: the upper or
+    the lower tail, or None for both (twice the smaller one)."""
+    if upper is None:
+        tails = [breadth_pvalue(reads, depth, breadth, expected, u) for u in (False, True)]
+        return None if None in tails else min(1.0, 2 * min(tails))
     if not reads or not math.isfinite(breadth) or not 0 <= breadth <= 1:
         return None
     if expected is None:

@@ -57,6 +57,8 @@ def test_dispatch_and_edges():
     assert stats.breadth_pvalue(0, 1.0, 0.5, 0.5, False) is None
     assert stats.breadth_pvalue(5, 1.0, 1.5, 0.5, False) is None and stats.breadth_pvalue(5, 1.0, math.nan, 0.5, False) is None
     assert stats.breadth_pvalue(5, 1.0, 0.5, 0.0, False) is None and stats.breadth_pvalue(5, None, 0.5, None, False) is None
+    both = [stats.breadth_pvalue(30, 0.5, 0.3, 0.4, u) for u in (False, True, None)]
+    assert both[2] == pytest.approx(min(1, 2 * min(both[:2]))) and stats.breadth_pvalue(0, 1.0, 0.5, 0.5, None) is None
     # 56 cells, 3 balls, 2 occupied
     assert stats.p_exact(56, 3, 2, False) == pytest.approx(1 - 55 * 54 / 56**2)
 
