@@ -91,7 +91,8 @@ def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
 
 def fragment(df: DataFrame, plan: FragmentPlan, salt: Column | None = None) -> DataFrame:
     """``df`` with ``_shard`` and ``_task``, each row in its task's partition. ``salt`` (an integer column)
-    picks the shard of a large key; by default the row's number in its input partition."""
+    picks the shard of a large key; by default the row's number in its input partition. That is the same when a lost
+    task runs again only for inputs read from files or checkpoints: give a salt made of the row for others."""
     salted = df.withColumn("_salt", (F.monotonically_increasing_id() if salt is None else salt).cast("long"))
     heavy = plan.heavy
     rows = salted.join(F.broadcast(heavy), _same(salted, heavy, plan.keys), "left").drop(*[heavy[k] for k in plan.keys])
