@@ -238,7 +238,7 @@ def em_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str, cfg: ProfileConfig) -> profile.Profile:
-    p = parsed(spark, d)
+    p = cut_lineage(parsed(spark, d))
     kept = p.where("kept").select("asm", "asm_len", "strain_taxid", "species_raw").distinct()
     lines = current_refs(spark, d).where(F.col("length").isNotNull()).select("ref_name", F.col("ref_id").alias("ord"))
     if cfg.strain:
@@ -246,7 +246,7 @@ def _run(spark: SparkSession, d: str, cfg: ProfileConfig) -> profile.Profile:
         fields = parse.name_fields()
         lines = names.select("ref_name", "ord", fields["asm"].alias("asm"), fields["strain_taxid"].alias("strain_taxid"), fields["species_raw"].alias("species_raw"))
         lines = lines.join(kept.groupBy("asm").agg(F.max("asm_len").alias("asm_len")), "asm")
-    return profile.run_profile(p, lines, taxonomy(spark, d), cfg, lineage=lineages(spark, d))
+    return profile.run_profile(p, cut_lineage(lines), taxonomy(spark, d), cfg, lineage=lineages(spark, d), stored=True)
 
 
 def profile_full(spark: SparkSession, d: str) -> DataFrame:
