@@ -58,6 +58,25 @@ def decode_container(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2].astype(np.int64), edge[1::2].astype(np.int64)
 
 
+def encode_all(first: np.ndarray, stop: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A container of each stretch at[i] .. at[i + 1] of the runs."""
+    pairs = np.stack([first, stop - 1], axis=1).astype("<u2").tobytes()
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        out.append(b"" if i == j else b"R" + pairs[4 * i : 4 * j] if j - i <= MAX_RUNS else encode_container(first[i:j], stop[i:j]))
+    return out
+
+
+def decode_all(containers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of runs of each container, first, stop) of them all, in order."""
+    if any(x[:1] == b"B" for x in containers):
+        parts = [decode_container(x) for x in containers]
+        return np.array([len(a) for a, _ in parts], np.int64), np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+    counts = np.array([len(x) // 4 for x in containers], np.int64)
+    runs = np.frombuffer(b"".join(x[1:] for x in containers), "<u2").reshape(-1, 2).astype(np.int64)
+    return counts, runs[:, 0], runs[:, 1] + 1
+
+
 def unite_runs(group: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The union of runs within each group (0 .. n-1): sorted, disjoint, touching runs joined."""
     keep = stop > first
@@ -90,7 +109,7 @@ def _batch(table: pa.Table, names: list[str], ids: np.ndarray, seen: np.ndarray,
     """One row per group: its key columns and the container of its united runs."""
     g, a, b = unite_runs(ids, first, stop)
     at = np.searchsorted(g, np.arange(len(seen) + 1))
-    runs = [encode_container(a[i:j], b[i:j]) for i, j in zip(at[:-1], at[1:])]
+    runs = encode_all(a, b, at)
     keys = table.select(names).take(pa.array(seen)).combine_chunks()
     columns = [keys.column(n).combine_chunks() if isinstance(keys.column(n), pa.ChunkedArray) else keys.column(n) for n in names]
     return pa.RecordBatch.from_arrays([*columns, pa.array(runs, pa.binary())], [*names, "runs"])
@@ -119,10 +138,9 @@ def _unite_containers(names: list[str]):
             batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)  # without the input's not-null marks
             t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             ids, seen = _group_ids([t.column(n).combine_chunks() for n in names])
-            parts = [decode_container(x) for x in t.column("runs").to_pylist()]
-            counts = np.array([len(x[0]) for x in parts])
-            out = _batch(t, names, np.repeat(ids, counts), seen, np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
-            last = int(np.flatnonzero(seen == np.array([np.flatnonzero(ids == ids[-1])[0]]))[0])
+            counts, first, stop = decode_all(t.column("runs").to_pylist())
+            out = _batch(t, names, np.repeat(ids, counts), seen, first, stop)
+            last = int(ids[-1])  # groups are numbered as they stand in the batch's rows of `out`
             held = out.slice(last, 1)
             rest = [i for i in range(out.num_rows) if i != last]
             if rest:
@@ -133,10 +151,9 @@ def _unite_containers(names: list[str]):
     return run
 
 
-def _pairs(starts: list[np.ndarray], stops: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in starts]))).astype(np.int32)
-    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, stops)]
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in flat], ["s", "e"]))
+def _pairs(counts: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["s", "e"]))
 
 
 def _extract(names: list[str]):
@@ -146,20 +163,18 @@ def _extract(names: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard = batch.column(batch.schema.get_field_index("shard")).to_pylist()
-            sets, ends, first, last = [], [], [], []
-            for k, data in zip(shard, batch.column(batch.schema.get_field_index("runs")).to_pylist()):
-                a, b = decode_container(data)
-                base = (k << SHARD_BITS) + 1
-                sets.append(a + base)
-                ends.append(b + base)
-                first.append(int(a[0]) + base if len(a) else None)
-                last.append(int(b[-1]) + base if len(a) else None)
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(first, pa.int64()), pa.array(last, pa.int64()), _pairs(sets, ends), _pairs([x[:-1] for x in ends], [x[1:] for x in sets])],
-                [*names, "first", "last", "set_runs", "clear_runs"],
-            )
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            counts, a, b = decode_all(column("runs").to_pylist())
+            base = np.repeat((column("shard").to_numpy(zero_copy_only=False).astype(np.int64) << SHARD_BITS) + 1, counts)
+            a, b = a + base, b + base
+            ends = np.cumsum(counts)
+            some = counts > 0
+            edge = lambda v, i: pa.array(np.where(some, v[np.where(some, i, 0)], 0) if len(v) else np.zeros(len(counts), np.int64), mask=~some)
+            inner = np.ones(len(a), bool)
+            inner[ends[some] - 1] = False  # the last run of a shard has no clear run after it
+            after = np.flatnonzero(inner)
+            clear = _pairs(np.maximum(counts - 1, 0), b[after], a[after + 1])
+            yield pa.RecordBatch.from_arrays([*[column(n) for n in names], edge(a, ends - counts), edge(b, ends - 1), _pairs(counts, a, b), clear], [*names, "first", "last", "set_runs", "clear_runs"])
 
     return run
 

@@ -52,8 +52,16 @@ def brute(rows):
     return gaps, periods
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_gaps_and_periods_against_bitmaps(spark, seed):
+@pytest.mark.parametrize(("seed", "batch"), [(1, 10_000), (2, 7), (3, 1)])
+def test_gaps_and_periods_against_bitmaps(spark, seed, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        check_against_bitmaps(spark, seed)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def check_against_bitmaps(spark, seed):
     r = np.random.default_rng(seed)
     length = {"a": 300_000, "b": 65_536, "c": 65_537, "d": 10, "e": 5, None: 131_072, "none": None, "zero": 0}
     rows = []
