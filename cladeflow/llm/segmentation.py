@@ -4,8 +4,10 @@ An item (a contig) longer than ``limit`` is cut into pieces of at most ``limit``
 item share ``overlap`` units. From the start of a piece its cut is chosen within the window of the last
 ``1 - MIN_FILL`` of the permitted length:
 
-* a run of N is a natural boundary: the cut falls in the middle of the longest run in the window;
-* else the *lexical cohesion* decides. Words are K-mers; blocks of ``BLOCK`` words slide in steps of ``STEP`` over
+* a run of N is a natural boundary: the cut falls in the middle of the longest run in the window, else within a
+  run that reaches into it;
+* else a run before the window is taken, the last one that no cut has used and that leaves more than the overlap;
+* only without any of these the *lexical cohesion* decides. Words are K-mers; blocks of ``BLOCK`` words slide in steps of ``STEP`` over
   the item, and the similarity of the blocks left and right of each step is the cosine of their word
   counts. A valley is deep where the similarity on both sides rises far above it; the deepest valley in
   the window is the cut.
@@ -111,22 +113,29 @@ def split_item(units: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) ->
         return [(0, n, "end")]
     lo, hi = n_runs(units)
     places, depth = depths(units)
-    pieces, start = [], 0
+    middle = (lo + hi) // 2
+    pieces, start, before = [], 0, 0
     while n - start > limit:
-        first, last = start + max(overlap + 1, int(limit * MIN_FILL)), start + limit
-        middle = (lo + hi) // 2
+        least = start + overlap + 1
+        first, last = max(least, start + int(limit * MIN_FILL)), start + limit
         inside = np.flatnonzero((middle >= first) & (middle <= last))
+        reaching = np.flatnonzero((lo <= last) & (hi >= first))
+        earlier = np.flatnonzero((lo >= before) & (hi >= least) & (hi < first))
         valleys = np.flatnonzero((places >= first) & (places <= last))
         if len(inside):
             best = inside[np.lexsort((-middle[inside], -(hi - lo)[inside]))[0]]
             cut, kind = int(middle[best]), "n_run"
+        elif len(reaching):
+            cut, kind = min(int(hi[reaching[-1]]), last), "n_run"
+        elif len(earlier):
+            cut, kind = max(int(middle[earlier[-1]]), least), "n_run"
         elif len(valleys):
             best = valleys[np.lexsort((-places[valleys], -depth[valleys]))[0]]
             cut, kind = int(places[best]), "valley"
         else:
             cut, kind = last, "limit"
         pieces.append((start, cut, kind))
-        start = cut - overlap
+        start, before = cut - overlap, cut
     return [*pieces, (start, n, "end")]
 
 

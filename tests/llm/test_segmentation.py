@@ -46,6 +46,39 @@ def test_runs_of_n_come_first():
     assert kind == "n_run" and stop == 7020
 
 
+@pytest.mark.parametrize(
+    ("runs", "cuts"),
+    [
+        ([(2840, 2860), (2970, 2990)], [2980]),  # only before the window: the last of them
+        ([(9990, 10_050)], [10_000]),  # straddles the limit, its middle beyond
+        ([(4000, 5400)], [5400]),  # reaches into the window, its middle before
+        ([(300, 320), (7000, 7002)], [7001]),  # the window goes first
+        ([(0, 14_000)], [7000, 14_000]),
+        ([(0, 15_000)], [7500, 15_000]),
+        ([(0, 150)], []),  # nothing beyond the overlap
+    ],
+)
+def test_runs_of_n_outside_the_window_come_before_valleys(runs, cuts):
+    units = random_bases(20_100, 5)
+    for a, b in runs:
+        units[a:b] = ord("N")
+    pieces = sg.split_item(units)
+    check_pieces(units, pieces, sg.LIMIT, sg.OVERLAP)
+    assert [stop for _, stop, kind in pieces if kind == "n_run"] == cuts
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ACGTN", max_size=900), st.integers(40, 200))
+def test_no_valley_is_taken_where_a_run_fits(text, limit):
+    units, before = sg.letters(text), 0
+    lo, hi = sg.n_runs(units)
+    for start, stop, kind in sg.split_item(units, limit, limit // 5):
+        if kind in ("valley", "limit"):
+            fits = (lo >= before) & (hi > start + limit // 5) & (lo <= start + limit)
+            assert not fits.any()
+        before = stop
+
+
 def test_valley_lies_where_the_vocabulary_changes():
     units = np.concatenate([random_bases(8000, 3, [0.7, 0.1, 0.1, 0.1]), random_bases(8000, 4, [0.1, 0.1, 0.1, 0.7])])
     _, stop, kind = sg.split_item(units)[0]
