@@ -237,15 +237,18 @@ def em_profile(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_em(spark, d).state)
 
 
+def _strain_lines(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    names = current_alignments(spark, d).groupBy("ref_name").agg(F.min("aln_id").alias("ord")).where(F.col("ref_name").isNotNull())
+    fields = parse.name_fields()
+    lines = names.select("ref_name", "ord", fields["asm"].alias("asm"), fields["strain_taxid"].alias("strain_taxid"), fields["species_raw"].alias("species_raw"))
+    return lines.join(p.where("kept").groupBy("asm").agg(F.max("asm_len").alias("asm_len")), "asm")
+
+
 def _run(spark: SparkSession, d: str, cfg: ProfileConfig) -> profile.Profile:
     p = cut_lineage(parsed(spark, d))
-    kept = p.where("kept").select("asm", "asm_len", "strain_taxid", "species_raw").distinct()
     lines = current_refs(spark, d).where(F.col("length").isNotNull()).select("ref_name", F.col("ref_id").alias("ord"))
     if cfg.strain:
-        names = current_alignments(spark, d).groupBy("ref_name").agg(F.min("aln_id").alias("ord")).where(F.col("ref_name").isNotNull())
-        fields = parse.name_fields()
-        lines = names.select("ref_name", "ord", fields["asm"].alias("asm"), fields["strain_taxid"].alias("strain_taxid"), fields["species_raw"].alias("species_raw"))
-        lines = lines.join(kept.groupBy("asm").agg(F.max("asm_len").alias("asm_len")), "asm")
+        lines = _strain_lines(spark, d, p)
     return profile.run_profile(p, cut_lineage(lines), taxonomy(spark, d), cfg, lineage=lineages(spark, d), stored=True)
 
 
@@ -261,6 +264,17 @@ def profile_strain(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, STRAIN).raw
 
 
+def profile_strain_final(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d, STRAIN).final
+
+
+def classification_strain(spark: SparkSession, d: str) -> DataFrame:
+    """Also where references are sampled, which a run writes no classification for."""
+    p, tax = cut_lineage(parsed(spark, d)), taxonomy(spark, d)
+    parts = profile.strain_parts(p.where("kept"), cut_lineage(_strain_lines(spark, d, p)), tax, STRAIN, lineages(spark, d))
+    return profile.strain_classification(parts.classed, parts.em, parts.ancestors, tax)
+
+
 def classification(spark: SparkSession, d: str) -> DataFrame:
     rows = classed(spark, d)
     known, members = cut_lineage(ambiguity.certain(rows)), cut_lineage(ambiguity.class_members(rows))
@@ -386,7 +400,7 @@ def subsample_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (aln_parse, mate_and_qc_filters, cigar_identity, ref_dim, run_totals, filter_stats, species_candidates, genus_fallback, best_alignment, best_alignment_strain, interval_union, coverage_by_taxon, coverage_strain, unambiguous_totals, ambiguity_classes, class_support, class_prune, lineage, species_normalise, genus_resolve, majority_lca, taxon_names_merged, em_fixed_iter, em_profile, profile_full, profile_raw, profile_strain, classification, expected_breadth, pvalue_exact, pvalue_normal, pvalue_binomial, chunk_threshold, ratio_filter, pvalue_filter, abundance_renorm, host_annotation, subsample_scaling, subsample_allocation, subsample_min_length, subsample_segments)
+    for f in (aln_parse, mate_and_qc_filters, cigar_identity, ref_dim, run_totals, filter_stats, species_candidates, genus_fallback, best_alignment, best_alignment_strain, interval_union, coverage_by_taxon, coverage_strain, unambiguous_totals, ambiguity_classes, class_support, class_prune, lineage, species_normalise, genus_resolve, majority_lca, taxon_names_merged, em_fixed_iter, em_profile, profile_full, profile_raw, profile_strain, profile_strain_final, classification, classification_strain, expected_breadth, pvalue_exact, pvalue_normal, pvalue_binomial, chunk_threshold, ratio_filter, pvalue_filter, abundance_renorm, host_annotation, subsample_scaling, subsample_allocation, subsample_min_length, subsample_segments)
 }
 _LINEAGE = """m1 AS (SELECT old_taxid, min(new_taxid) AS new_taxid FROM tax_merged GROUP BY 1),
 cn AS (SELECT taxid, parent_taxid, rank, sci_name FROM tax_nodes WHERE taxid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY taxid ORDER BY loaded_at DESC) = 1),

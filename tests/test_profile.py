@@ -135,6 +135,23 @@ def test_strain_profile(spark, files):
     assert raw[11]["reads"] == pytest.approx(8 / 3, abs=1e-4)
 
 
+def test_strain_classification(spark, files, tax):
+    p = cli.profile_file(spark, str(files / "tiny.sam"), str(files / "taxdump"), ProfileConfig(strain=True, min_cbreadth=0.0), None)
+    assert p.classified.columns == ["read_name", "name", "taxid", "rank", "names", "taxids", "fractions"]
+    got = {r["read_name"]: tuple(r)[1:] for r in p.classified.collect()}
+    assert got["r1"] == ("First s", 11, "strain", "First s", "11", "1") and got["r4"] == ("Second s", 12, "strain", "Second s", "12", "1")
+    assert got["r3"] == ("First s", 11, "strain", "First s;Second s", "11;12", "0.66667;0.33333") and len(got) == 4
+
+
+def test_strain_classification_of_species_and_ancestors(spark, tax):
+    row = lambda read, taxid, c: (read, taxid, "strain", 0.1, 10.0, c)
+    classed = spark.createDataFrame([row("a", 101, [101]), row("b", 11, [11, 12]), row("b", 12, [11, 12]), row("c", 11, [11, 101]), row("c", 101, [11, 101])], "read_name string, taxid long, rank string, depth double, maplen double, class array<long>")
+    shares = spark.createDataFrame([([11, 101], 101, 1.0)], em.FRACTIONS)
+    ancestors = spark.createDataFrame([([11, 12], 5)], "class array<long>, lca long")
+    got = {tuple(r) for r in profile.strain_classification(classed, em.EmResult(None, shares, 1, True), ancestors, tax).collect()}
+    assert got == {("a", "First", 101, "species", "First", "101", "1"), ("b", "Genus", 5, "genus", "First s;Second s", "11;12", "1"), ("c", "First", 101, "species", "First", "101", "1.00000")}
+
+
 def test_strain_hosts(spark, files, tax):
     rows = spark.createDataFrame([(101,), (102,), (11,)], "taxid long")
     hosts = tables.read_hosts(spark, str(files / "hosts.tsv"))
