@@ -177,15 +177,34 @@ def _known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(ambiguity.certain(rows).where(F.col("taxid") % 2 == 0)), cut_lineage(ambiguity.class_members(rows))
 
 
+def _known_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = classed(spark, d)
+    return cut_lineage(ambiguity.certain(rows)), cut_lineage(ambiguity.class_members(rows))
+
+
 def class_support(spark: SparkSession, d: str) -> DataFrame:
-    known, members = _known(spark, d)
+    return _class_support(*_known(spark, d))
+
+
+def class_support_all(spark: SparkSession, d: str) -> DataFrame:
+    return _class_support(*_known_whole(spark, d))
+
+
+def _class_support(known: DataFrame, members: DataFrame) -> DataFrame:
     s = ambiguity.support(members, known)
     kind = F.when(F.col("n_ok") == F.col("size"), "all").when(F.col("n_ok") == 0, "none").otherwise("some")
     return s.select(_key("class"), "taxid", "ok", "n_ok", kind.alias("kind"))
 
 
 def class_prune(spark: SparkSession, d: str) -> DataFrame:
-    known, members = _known(spark, d)
+    return _class_prune(*_known(spark, d))
+
+
+def class_prune_all(spark: SparkSession, d: str) -> DataFrame:
+    return _class_prune(*_known_whole(spark, d))
+
+
+def _class_prune(known: DataFrame, members: DataFrame) -> DataFrame:
     one, rest = ambiguity.prune(ambiguity.support(members, known))
     both = rest.groupBy("class", "taxid").agg(*[F.sum(c).alias(c) for c in ("n", "depth", "maplen")]).unionByName(one.groupBy("taxid").agg(*[F.sum(c).alias(c) for c in ("n", "depth", "maplen")]).withColumn("class", F.array("taxid")))
     return _rounded(both)
@@ -400,7 +419,7 @@ def subsample_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (aln_parse, mate_and_qc_filters, cigar_identity, ref_dim, run_totals, filter_stats, species_candidates, genus_fallback, best_alignment, best_alignment_strain, interval_union, coverage_by_taxon, coverage_strain, unambiguous_totals, ambiguity_classes, class_support, class_prune, lineage, species_normalise, genus_resolve, majority_lca, taxon_names_merged, em_fixed_iter, em_profile, profile_full, profile_raw, profile_strain, profile_strain_final, classification, classification_strain, expected_breadth, pvalue_exact, pvalue_normal, pvalue_binomial, chunk_threshold, ratio_filter, pvalue_filter, abundance_renorm, host_annotation, subsample_scaling, subsample_allocation, subsample_min_length, subsample_segments)
+    for f in (aln_parse, mate_and_qc_filters, cigar_identity, ref_dim, run_totals, filter_stats, species_candidates, genus_fallback, best_alignment, best_alignment_strain, interval_union, coverage_by_taxon, coverage_strain, unambiguous_totals, ambiguity_classes, class_support, class_prune, class_support_all, class_prune_all, lineage, species_normalise, genus_resolve, majority_lca, taxon_names_merged, em_fixed_iter, em_profile, profile_full, profile_raw, profile_strain, profile_strain_final, classification, classification_strain, expected_breadth, pvalue_exact, pvalue_normal, pvalue_binomial, chunk_threshold, ratio_filter, pvalue_filter, abundance_renorm, host_annotation, subsample_scaling, subsample_allocation, subsample_min_length, subsample_segments)
 }
 _LINEAGE = """m1 AS (SELECT old_taxid, min(new_taxid) AS new_taxid FROM tax_merged GROUP BY 1),
 cn AS (SELECT taxid, parent_taxid, rank, sci_name FROM tax_nodes WHERE taxid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY taxid ORDER BY loaded_at DESC) = 1),
@@ -587,3 +606,9 @@ FROM o JOIN occ q ON q.n = o.cells AND q.m = o.m GROUP BY 1, 2, 3, 4, 5"""
 SQL["pvalue_binomial"] = f"""{_PV.format(current=_CURRENT, m="m0", cells="200000 + len")},
 terms AS (SELECT *, unnest(range(k + 1)) AS i FROM o)
 SELECT asm, acc, m, cells, k, round(least(sum(exp(lgamma(cells + 1) - lgamma(i + 1) - lgamma(cells - i + 1) + i * ln(p) + (cells - i) * ln(1 - p))), 1.0), 6) AS p FROM terms GROUP BY 1, 2, 3, 4, 5"""
+_SUP_ALL = "sup_all AS (SELECT m.*, u.taxid IS NOT NULL AS ok, count(u.taxid) OVER (PARTITION BY m.class) AS n_ok FROM mem m LEFT JOIN uni u USING (taxid))"
+SQL["class_support_all"] = f"WITH RECURSIVE {_CLASSES}, {_SUP_ALL} SELECT {_KEY}, taxid, ok, n_ok, CASE WHEN n_ok = len(class) THEN 'all' WHEN n_ok = 0 THEN 'none' ELSE 'some' END AS kind FROM sup_all"
+SQL["class_prune_all"] = f"""WITH RECURSIVE {_CLASSES}, {_SUP_ALL},
+p AS (SELECT class, taxid, n, depth, maplen FROM sup_all WHERE ok AND n_ok < len(class)),
+q AS (SELECT s.class, p.taxid, p.n, p.depth, p.maplen FROM p JOIN (SELECT class AS c0, list_sort(list(taxid)) AS class FROM p GROUP BY 1) s ON s.c0 = p.class)
+SELECT {_KEY}, taxid, round(sum(n), 6) AS n, round(sum(depth), 6) AS depth, round(sum(maplen), 6) AS maplen FROM q GROUP BY class, taxid"""
