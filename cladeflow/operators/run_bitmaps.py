@@ -209,16 +209,18 @@ def shard_runs(rows: DataFrame, entity: list[str], start: str, end: str, length:
 def gaps(rows: DataFrame, entity: list[str], start: str = "s", end: str = "e", length: str = "length") -> DataFrame:
     """(entity..., gap_start, gap_end): every maximal stretch of [1, length + 1) that no row covers."""
     shards = shard_runs(rows, entity, start, end, length)
+    inner = shards.select(*entity, F.explode("clear_runs").alias("_g")).select(*entity, F.col("_g.s").alias("gap_start"), F.col("_g.e").alias("gap_end"))
+    # one narrow row a shard goes through the window; the clear runs between a shard's set runs never do
+    edges = shards.select(*entity, "length", "shard", "first", "last")
     by = Window.partitionBy(*entity).orderBy("shard")
     before = F.coalesce(F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1).cast("long"))
-    is_last = F.lead("shard").over(by).isNull()
-    edged = shards.select(*entity, "length", "first", "last", "clear_runs", before.alias("_before"), is_last.alias("_is_last"))
-    pair = lambda s, e: F.array(F.struct(s.cast("long").alias("s"), e.cast("long").alias("e")))
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    lead = F.when(F.col("first") > F.col("_before"), pair(F.col("_before"), F.col("first"))).otherwise(none)
+    edges = edges.select(*entity, "length", "first", "last", before.alias("_before"), F.lead("shard").over(by).isNull().alias("_is_last"))
+    pair = lambda ok, s, e: F.when(ok, F.struct(s.cast("long").alias("s"), e.cast("long").alias("e")))
+    lead = pair(F.col("first") > F.col("_before"), F.col("_before"), F.col("first"))
     tail_from = F.coalesce(F.col("last"), F.col("_before"))
-    tail = F.when(F.col("_is_last") & (tail_from < F.col("length") + 1), pair(tail_from, F.col("length") + 1)).otherwise(none)
-    return edged.select(*entity, F.explode(F.concat(lead, F.col("clear_runs"), tail)).alias("_g")).select(*entity, F.col("_g.s").alias("gap_start"), F.col("_g.e").alias("gap_end"))
+    tail = pair(F.col("_is_last") & (tail_from < F.col("length") + 1), tail_from, F.col("length") + 1)
+    outer = edges.select(*entity, F.explode(F.filter(F.array(lead, tail), lambda g: g.isNotNull())).alias("_g"))
+    return inner.unionByName(outer.select(*entity, F.col("_g.s").alias("gap_start"), F.col("_g.e").alias("gap_end")))
 
 
 def periods(rows: DataFrame, entity: list[str], start: str = "s", end: str = "e", length: str = "length") -> DataFrame:
