@@ -1,9 +1,9 @@
 """Loading raw header lines while separating those that don't parse (problem 3).
 
 *Fast path*: the lines of a block are parsed column-wise in C++ - one extraction of all fields, one cast
-a numeric column, a few comparisons. The first line that doesn't fit makes the block fail as a whole.
-A failing block is *bisected*: halves are parsed again in bulk, down to a few lines. Those that
-still fail are *diagnosed strictly*, line by line, by a character-wise parser which either accepts the line
+a numeric column, a few comparisons. They leave a running count of what didn't fit, so whether any part of the block
+fails is a difference of two counts. A failing block is *bisected* on those counts, without parsing a line again, until each
+failing line stands alone. Those are *diagnosed strictly* by a character-wise parser which either accepts the line
 (quoted fields, white space, other tags) or names the first reason that fits:
 
 ``quoting``  a header breaks the quoting rule,
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 #: Lines that the fast path takes at once.
 BLOCK = 4096
-#: Failing blocks are halved down to so many lines; each line of these is parsed strictly.
-LEAF = 8
+#: Digits that fit a long whatever they are; longer numbers are left to the strict parser.
+DIGITS = 18
 MAX_TAXID = 2**32 - 1
 MAX_SIZE = 2**63 - 1
 SPACE = " \t\r\n"
@@ -130,43 +130,45 @@ def diagnose(kind: str | None, line: str) -> tuple[str | None, tuple | None]:
     return None, (asm, numbers[0], numbers[1], acc, numbers[2], given, length)
 
 
-def parse_block(kind: str, lines: pa.Array) -> dict[str, pa.Array] | None:
-    """All fields of all lines, or None as soon as one line doesn't fit the plain form."""
+def parse_lines(kind: str, lines: pa.Array) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """(all fields of all lines, which lines don't fit the plain form); the fields of those mean nothing."""
     got = pc.extract_regex(lines, FAST_PATTERN[kind])
-    if got.null_count:
-        return None
+    fits = pc.is_valid(got)
     out: dict[str, pa.Array] = {n: got.field(n) for n in TEXT}
-    try:
-        for n in NUMBERS:
-            if n == "length" and kind != "sq":
-                out[n] = pa.nulls(len(lines), pa.int64())
-                continue
-            text = got.field(n)
-            if n == "sampled":  # an optional group that didn't take part comes as an empty string
-                text = pc.if_else(pc.equal(text, ""), None, text)
-            out[n] = pc.cast(text, pa.int64())  # out of range: ArrowInvalid
-    except pa.ArrowInvalid:
-        return None
-    low = [pc.min(out[n]).as_py() for n in NUMBERS]
-    if any(x is not None and x < 1 for x in low) or any(pc.max(out[n]).as_py() > MAX_TAXID for n in ("taxid", "species_taxid")):
-        return None
-    return None if pc.any(pc.greater(out["sampled"], out["size"])).as_py() else out
+    for n in NUMBERS:
+        if n == "length" and kind != "sq":
+            out[n] = pa.nulls(len(lines), pa.int64())
+            continue
+        text = got.field(n)
+        given = pc.and_(fits, pc.not_equal(text, "")) if n == "sampled" else fits  # an optional group that didn't take part comes as an empty string
+        short = pc.less_equal(pc.binary_length(text), DIGITS)
+        out[n] = pc.cast(pc.if_else(pc.and_(given, short), text, None), pa.int64())
+        good = pc.fill_null(pc.and_(pc.greater_equal(out[n], 1), pc.less_equal(out[n], MAX_TAXID if n in ("taxid", "species_taxid") else MAX_SIZE)), False)
+        fits = pc.and_(fits, pc.or_(good, pc.invert(given)))
+    fits = pc.and_(fits, pc.invert(pc.fill_null(pc.greater(out["sampled"], out["size"]), False)))
+    return out, ~fits.to_numpy(zero_copy_only=False)
 
 
-def _bisect(kind: str, lines: pa.Array, rows: np.ndarray, done: list[tuple[np.ndarray, dict]], strict: list[int]) -> None:
-    todo = [(lines, rows)]
+def parse_block(kind: str, lines: pa.Array) -> dict[str, pa.Array] | None:
+    """All fields of all lines, or None if one doesn't fit the plain form."""
+    values, fails = parse_lines(kind, lines)
+    return None if fails.any() else values
+
+
+def bisect(failing: np.ndarray) -> list[int]:
+    """The places of the failing lines, found by halving the block as long as a part of it fails."""
+    before = np.concatenate(([0], np.cumsum(failing))).tolist()
+    todo, alone = [(0, len(failing))], []
     while todo:
-        part, at = todo.pop()
-        if len(part) == 0:
+        a, b = todo.pop()
+        if before[a] == before[b]:
             continue
-        values = parse_block(kind, part)
-        if values is not None:
-            done.append((at, values))
-        elif len(part) <= LEAF:
-            strict += at.tolist()
-        else:
-            half = len(part) // 2
-            todo += [(part.slice(half), at[half:]), (part.slice(0, half), at[:half])]
+        if before[b] - before[a] == b - a:
+            alone.extend(range(a, b))
+            continue
+        half = (a + b) // 2
+        todo += [(half, b), (a, half)]
+    return alone
 
 
 def _parse(names: list[str], kind_col: str, line_col: str):
@@ -188,7 +190,11 @@ def _parse(names: list[str], kind_col: str, line_col: str):
                 known |= mask
                 for k in range(0, len(at), BLOCK):
                     block = at[k : k + BLOCK]
-                    _bisect(kind, lines.take(pa.array(block)), block, done, strict)
+                    values, fails = parse_lines(kind, lines.take(pa.array(block)))
+                    alone = bisect(fails)
+                    strict += block[alone].tolist()
+                    kept = ~fails
+                    done.append((block[kept], {n: v.filter(pa.array(kept)) for n, v in values.items()}))
             records = is_record.to_numpy(zero_copy_only=False)
             strict += [int(i) for i in np.flatnonzero(records & ~known)]
             fields: list[tuple | None] = [None] * n
