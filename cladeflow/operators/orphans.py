@@ -5,8 +5,9 @@
    most 8 bytes per ``KEYS_PER_WORD`` keys; it is broadcast while it has at most ``MAX_WORDS`` words, a
    bound that is checked when it is built, and joined by shuffle beyond that.
 2. References that miss a bit are *definite orphans*; they never meet the parent table.
-3. The others are verified by exact join - on their distinct ids, so the number of references to a
-   popular parent doesn't matter - and the verdict is joined back by fragment and replicate.
+3. The others are verified by exact join. All of this, the replacement of retired ids too, happens on the distinct ids
+   that are referred to, so the number of references to a popular parent doesn't matter; the verdict is joined back by
+   fragment and replicate.
 
 Reasons, the first that fits: ``deleted``, ``missing`` (also where the replacement is endless),
 ``late`` (the earliest record of the parent is newer than the referring row; a null time of the
@@ -64,18 +65,18 @@ def bloom_split(refs: DataFrame, key: str, bloom: DataFrame, words: int) -> Data
 
 def find_orphans(refs: DataFrame, parents: DataFrame, deleted: DataFrame, resolved: DataFrame, ref: str = "ref_id", referred_at: str = "loaded_at", parent: str = "taxid", parent_at: str = "loaded_at") -> DataFrame:
     """The rows of ``refs`` (ids in ``ref``, null and 0 being no reference) that fail, with ``reason``."""
-    named = refs.where(F.col(ref).isNotNull() & (F.col(ref) != 0)).withColumn("_raw", F.col(ref).cast("long"))
-    named = cut_lineage(replace_ids(named, "_raw", resolved, "_id", "_endless"))
+    named = cut_lineage(refs.where(F.col(ref).isNotNull() & (F.col(ref) != 0)).withColumn("_raw", F.col(ref).cast("long")))
     gone = deleted.where(F.col(parent).isNotNull()).select(F.col(parent).cast("long").alias("_id")).distinct().withColumn("_deleted", F.lit(True))
     bloom, words = build_bloom(parents, parent)
-    ids = named.where(F.col("_id").isNotNull()).select("_id").distinct()
-    probed = bloom_split(ids, "_id", bloom, words)
+    ids = replace_ids(named.select("_raw").distinct(), "_raw", resolved, "_id", "_endless")
+    probed = cut_lineage(bloom_split(ids, "_id", bloom, words))
     exact = parents.where(F.col(parent).isNotNull()).groupBy(F.col(parent).cast("long").alias("_id")).agg(F.min(parent_at).alias("_since"))
     exact = exact.withColumn("_known", F.lit(True))
-    positive = probed.where("_maybe").select("_id").join(exact, "_id", "left")
-    negative = probed.where(~F.col("_maybe")).select("_id", F.lit(None).cast(exact.schema["_since"].dataType).alias("_since"), F.lit(None).cast("boolean").alias("_known"))
-    verdict = cut_lineage(positive.unionByName(negative).join(gone, "_id", "left"))
-    judged = balanced_join(named, verdict, ["_id"], "left")
+    asked = ["_raw", "_id", "_endless"]
+    positive = probed.where("_maybe").select(*asked).join(exact, "_id", "left")
+    negative = probed.where(~F.col("_maybe")).select(*asked, F.lit(None).cast(exact.schema["_since"].dataType).alias("_since"), F.lit(None).cast("boolean").alias("_known"))
+    verdict = cut_lineage(positive.unionByName(negative).join(gone, "_id", "left").drop("_id"))
+    judged = balanced_join(named, verdict, ["_raw"], "left")
     reason = (
         F.when(F.col("_endless"), "missing")
         .when(F.coalesce(F.col("_deleted"), F.lit(False)), "deleted")
@@ -83,4 +84,4 @@ def find_orphans(refs: DataFrame, parents: DataFrame, deleted: DataFrame, resolv
         .when(F.coalesce(F.col("_since") > F.col(referred_at), F.lit(False)), "late")
     )
     out = judged.withColumn("reason", reason).where(F.col("reason").isNotNull())
-    return out.drop("_raw", "_id", "_endless", "_since", "_known", "_deleted")
+    return out.drop("_raw", "_endless", "_since", "_known", "_deleted")
