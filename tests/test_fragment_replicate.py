@@ -54,3 +54,12 @@ def test_empty_sides(spark):
 def test_packing_takes_largest_first():
     where = fr.pack([(10, "a"), (9, "b"), (2, "c"), (1, "d")], 2)
     assert where["a"] != where["b"] and where["c"] == where["b"]
+
+
+def test_spread_join_matches_spark_joins(spark):
+    _, df = skewed(spark)
+    right = spark.createDataFrame([("hot", "H"), ("k1", "a"), ("k1", "b"), (None, "n")], "k string, label string")
+    for rows in (df, df.where("k <> 'hot'").distinct(), df.limit(0)):
+        for how in ("inner", "left"):
+            want = Counter(map(tuple, rows.join(right, "k", how).collect()))
+            assert Counter(map(tuple, fr.spread_join(rows, right, "k", how).collect())) == want
