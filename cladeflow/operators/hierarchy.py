@@ -4,14 +4,16 @@
 replacements of its end has arrived, so a round that brings no id home proves that the rest runs in
 circles.
 
-``build_hierarchy`` extends paths level by level: the frontier starts at the roots and is joined to
-the children of its nodes. ``LEVELS_PER_JOB`` levels are planned as one job, and what they reached is
-checkpointed, so the plan doesn't grow with the depth and lost executors cost one job at most. Once no
-more than ``LOCAL_NODES`` nodes are left (counted, whatever the size of the whole), the same levels are
-walked on the driver: a long thin chain then costs one job instead of one a few levels. Paths
-hold the ancestor pairs, from which descendants are counted or listed. Nodes that the frontier never
-reaches lie on or below a cycle; pointer doubling over those alone carries the smallest id of the
-next 2^k steps along, which on the cycle is the smallest id of the cycle.
+``reach`` moves a frontier of levels down from the roots. Every node below it holds the ancestor that its links have
+led to so far; a join with the nodes themselves tells whether that ancestor has been reached, which reaches the node,
+or how much further up it leads. So the frontier of round k covers all levels below 2^k, each band of levels as deep as all
+before, and a tree of any depth, a chain too, takes few rounds. Levels have no holes: a round that reaches nothing proves
+that all that is left lies on or below a cycle. Only numbers move here, so a cycle costs no more than a tree.
+
+``build_hierarchy`` then extends the paths of what was reached by the same joins. Paths hold the ancestor pairs, from which
+descendants are counted or listed. Every round is checkpointed, so the plan doesn't grow with the depth, and joined by
+fragment and replicate, as an ancestor may be that of a third of all nodes. Pointer doubling over the unreached nodes alone carries the
+smallest id of the next 2^k steps along, which on the cycle is the smallest id of the cycle.
 
 Defined results: a null, absent or endlessly replaced parent, or being one's own parent, makes a root;
 a null id is no node; of rows with equal ids the caller keeps one (``current_rows``).
@@ -19,15 +21,12 @@ a null id is no node; of rows with equal ids the caller keeps one (``current_row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.operators.fragment_replicate import spread_join
 from cladeflow.session import cut_lineage
 
-LEVELS_PER_JOB = 8
-#: Nodes left from which the remaining levels are walked on the driver.
-LOCAL_NODES = 20_000
-
 
 def resolve_merged(merged: DataFrame, old: str = "old_taxid", new: str = "new_taxid") -> DataFrame:
     """(old_id, final_id) for each replaced id; final_id is null where the replacement is endless.
@@ -70,66 +69,56 @@ def parent_links(nodes: DataFrame, resolved: DataFrame | None, node: str = "taxi
     return links.select("node", F.when(F.col("_n") != F.col("node"), F.col("_n")).alias("parent"))
 
 
-_REACHED = ["node", "parent", "root", "depth", "path"]
+def _rounds(links: DataFrame, held: Column, join_held) -> tuple[DataFrame, DataFrame]:
+    """(reached, unreached) of (node, parent), each with ``held``: what a node holds of the way to its ancestor ``top``.
+    ``join_held`` puts the ancestor's and the node's together. ``top`` is null once a root is reached, which is ``root``."""
+    first = links.select("node", "parent", F.col("parent").alias("top"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), held.alias("held"))
+    first = cut_lineage(first)
+    done, open_ = first.where(F.col("top").isNull()), first.where(F.col("top").isNotNull())
+    left = open_.count()
+    while left:
+        above = done.unionByName(open_).select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("root").alias("_root"), F.col("held").alias("_held"))
+        moved = spread_join(open_, above, "top", salt=F.xxhash64("node"))
+        moved = cut_lineage(moved.select("node", "parent", F.col("_top").alias("top"), F.col("_root").alias("root"), join_held("_held", "held").alias("held")))
+        still = moved.where(F.col("top").isNotNull()).count()
+        if still == left:
+            break
+        done, open_, left = done.unionByName(moved.where(F.col("top").isNull())), moved.where(F.col("top").isNotNull()), still
+    return done, open_
 
 
-def _walk_rest(rest: DataFrame, reached: DataFrame) -> DataFrame:
-    """The levels below ``reached`` within ``rest``, at most LOCAL_NODES rows, walked on the driver."""
-    above = reached.select(F.col("node").alias("_n"), "root", "depth", "path")
-    seeds = rest.join(above, rest["parent"] == above["_n"]).select("node", "parent", "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
-    below: dict[int, list[int]] = {}
-    for r in rest.where(F.col("parent").isNotNull()).collect():
-        below.setdefault(r["parent"], []).append(r["node"])
-    found, level = [], [tuple(r) for r in seeds.collect()]
-    while level:
-        found += level
-        level = [(child, node, root, depth + 1, [*path, child]) for node, _, root, depth, path in level for child in below.get(node, ())]
-    return cut_lineage(rest.sparkSession.createDataFrame(found, reached.select(*_REACHED).schema))
+def reach(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (node, parent) the reached nodes (node, parent, root, depth) and the unreached (node, parent)."""
+    steps = F.when(F.col("parent").isNull(), 0).otherwise(1)
+    done, open_ = _rounds(links, steps, lambda above, own: F.col(above) + F.col(own))
+    return done.select("node", "parent", "root", F.col("held").alias("depth")), open_.select("node", "parent")
 
 
-def build_hierarchy(links: DataFrame, levels_per_job: int = LEVELS_PER_JOB, local_nodes: int = LOCAL_NODES) -> tuple[DataFrame, DataFrame]:
+def build_hierarchy(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (node, parent) the reached nodes (node, parent, root, depth, path; the path runs from the root
     to the node) and the unreached (node, parent)."""
-    links = cut_lineage(links)
-    left = links.count()
-    frontier = links.where(F.col("parent").isNull()).select("node", "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
-    reached = cut_lineage(frontier)
-    left -= reached.count()
-    if left > local_nodes:
-        children = cut_lineage(links.where(F.col("parent").isNotNull()).repartition("parent").sortWithinPartitions("parent"))
-    deepest = reached
-    while left > local_nodes:
-        top = deepest.select(F.col("node").alias("_p"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path").alias("_path"))
-        grown: DataFrame | None = None
-        for _ in range(levels_per_job):
-            nxt = children.join(top, children["parent"] == top["_p"]).select("node", "parent", F.col("_r").alias("root"), (F.col("_d") + 1).alias("depth"), F.concat("_path", F.array("node")).alias("path"))
-            grown = nxt if grown is None else grown.unionByName(nxt)
-            top = nxt.select(F.col("node").alias("_p"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path").alias("_path"))
-        block = cut_lineage(grown)
-        n, lowest = block.agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("d")).first()
-        if n == 0:
-            break
-        left -= n
-        reached = reached.unionByName(block)
-        deepest = block.where(F.col("depth") == lowest)
-    rest = links.join(reached.select("node"), "node", "left_anti")
-    if 0 < left <= local_nodes:
-        rest = cut_lineage(rest)
-        reached = reached.unionByName(_walk_rest(rest, reached))
-        rest = rest.join(reached.select("node"), "node", "left_anti")
-    return reached, rest
+    reached, unreached = reach(links)
+    done, _ = _rounds(reached.select("node", "parent"), F.array("node"), lambda above, own: F.concat(above, own))
+    return done.select("node", "parent", "root", (F.size("held") - 1).alias("depth"), F.col("held").alias("path")), unreached
 
 
 def find_cycles(unreached: DataFrame) -> DataFrame:
-    """(cycle_id, node) for each node on or below a cycle; ``unreached`` must hold all nodes of each cycle."""
+    """(cycle_id, node) for each node on or below a cycle; ``unreached`` must hold all nodes of each cycle. The nodes that
+    all steps so far lead to get fewer until only those on cycles are left; once they and all smallest ids stay as they
+    are when the steps double, every cycle has been gone round."""
     step = cut_lineage(unreached.select("node", F.col("parent").alias("to"), F.col("node").alias("low")))
-    left, span = step.count(), 1
-    while span < left:
-        nxt = step.select(F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("low").alias("_low"))
-        step = cut_lineage(step.join(nxt, step["to"] == nxt["_n"]).select("node", F.col("_to").alias("to"), F.least("low", "_low").alias("low")))
-        span *= 2
-    landed = step.select(F.col("node").alias("_n"), F.col("low").alias("cycle_id"))
-    return step.join(landed, step["to"] == landed["_n"]).select("cycle_id", "node")
+    ends = -1
+    while True:
+        nxt = step.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        ahead = spread_join(step, nxt, "to", salt=F.xxhash64("node"))
+        step = cut_lineage(ahead.select("node", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("_moved")))
+        seen = step.agg(F.count_distinct("to").alias("ends"), F.count_if("_moved").alias("moved")).first()
+        if seen["ends"] == ends and seen["moved"] == 0:
+            break
+        ends = seen["ends"]
+        step = step.drop("_moved")
+    landed = step.select(F.col("node").alias("to"), F.col("low").alias("cycle_id"))
+    return spread_join(step.select("node", "to"), landed, "to", salt=F.xxhash64("node")).select("cycle_id", "node")
 
 
 def descendant_counts(reached: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def taxon_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    _, unreached = hierarchy.build_hierarchy(taxon_links(spark, d))
+    _, unreached = hierarchy.reach(taxon_links(spark, d))
     return hierarchy.find_cycles(unreached).select(F.col("cycle_id").alias("cycle_taxid"), F.col("node").alias("taxid"))
 
 

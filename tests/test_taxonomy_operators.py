@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from cladeflow.operators import hierarchy, orphans
 
@@ -37,15 +36,14 @@ def brute_tree(parent):
     return paths, cyc
 
 
-@pytest.mark.parametrize("local", [0, 20_000])
-def test_hierarchy_against_walks(spark, local):
+def test_hierarchy_against_walks(spark):
     r = np.random.default_rng(3)
     parent = {n: (None if n % 41 == 0 else int(r.integers(0, n))) for n in range(1, 300)}
     parent = {n: (p if p != 0 else None) for n, p in parent.items()}
     parent |= {1000 + i: (1000 + i - 1 if i else 5) for i in range(20)}  # a chain
     parent |= {2000: 2002, 2001: 2000, 2002: 2001, 2003: 2001, 2004: 2003, 3000: 3001, 3001: 3000}
     df = spark.createDataFrame(list(parent.items()), "node long, parent long")
-    reached, unreached = hierarchy.build_hierarchy(df, local_nodes=local)
+    reached, unreached = hierarchy.build_hierarchy(df)
     paths, cyc = brute_tree(parent)
     rows = reached.collect()
     assert {x["node"]: x["path"] for x in rows} == paths and len(rows) == len(paths)
@@ -56,6 +54,31 @@ def test_hierarchy_against_walks(spark, local):
     assert hierarchy.descendants(reached).count() == sum(below.values())
 
 
+def test_long_chain_and_a_star_below_it(spark):
+    n = 3000
+    parent = {i: (i - 1 if i else None) for i in range(n)} | {10_000 + i: n - 1 for i in range(500)} | {20_000: 20_001, 20_001: 20_000}
+    df = spark.createDataFrame(list(parent.items()), "node long, parent long")
+    reached, unreached = hierarchy.reach(df)
+    rows = {r["node"]: (r["root"], r["depth"]) for r in reached.collect()}
+    assert rows == {i: (0, i) for i in range(n)} | {10_000 + i: (0, n) for i in range(500)}
+    assert {r["node"] for r in unreached.collect()} == {20_000, 20_001}
+    only_cycle, left = hierarchy.reach(df.where("node >= 20000"))
+    assert only_cycle.count() == 0 and left.count() == 2
+
+
+def test_cycles_of_any_length_with_tails(spark):
+    r = np.random.default_rng(9)
+    parent, at = {}, 0
+    for length in (1, 2, 3, 4, 7, 16, 33):
+        ids = [int(x) for x in r.permutation(length)]
+        parent |= {at + ids[k]: at + ids[(k + 1) % length] for k in range(length)}
+        parent |= {at + 1000 + k: at + (1000 + k - 1 if k else 0) for k in range(length * 3)}
+        at += 10_000
+    df = spark.createDataFrame(list(parent.items()), "node long, parent long")
+    _, cyc = brute_tree(parent)
+    assert {x["node"]: x["cycle_id"] for x in hierarchy.find_cycles(df).collect()} == cyc
+
+
 def test_parent_links_rules(spark):
     nodes = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 99, "x"), (4, None, "x"), (5, 50, "x"), (6, 60, "x"), (7, 2, "x"), (None, 1, "x")], "taxid long, parent_taxid long, parent string")
     merged = spark.createDataFrame([(50, 2), (60, 61), (61, 60), (7, 2)], "old_taxid long, new_taxid long")
