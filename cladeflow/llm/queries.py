@@ -59,12 +59,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.judge(load(spark, d, "documents").select("doc_id", "text")).where("cut").select("doc_id")
+    return truncation.judge(load(spark, d, "documents").select("doc_id", "text", "source"), source="source").where("cut").select("doc_id")
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", "source", "text")
-    judged = truncation.judge(docs.select("doc_id", "text"))
+    judged = truncation.judge(docs, source="source")
     by = docs.select("doc_id", mixing.source_name("source").alias("source")).join(judged, "doc_id").groupBy("source")
     return by.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("cut").cast("long")).alias("cut_documents")).withColumn("cut_share", F.round(F.col("cut_documents") / F.col("documents"), 6))
 
