@@ -2,8 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from cladeflow.llm.topn import top_n
+from cladeflow.llm.topn import HELD_ROWS, _local_bounds, top_n
 
 ORDER = [("score", True), ("len", True), ("id", False)]
 SCHEMA = "g string, score double, len long, id long, rank string"
@@ -40,3 +41,19 @@ def test_empty_and_repeated_rows(spark):
     assert top_n(df.limit(0), "g", ORDER, 3).count() == 0
     with pytest.raises(ValueError):
         top_n(df, "g", ORDER, 0)
+
+
+def test_a_partition_keeps_no_more_than_n_rows_a_group(spark):
+    """5,000 groups of 400 rows spread over all batches of two partitions: nowhere N rows of a group in one batch."""
+    rows = spark.range(2_000_000, numPartitions=2).selectExpr("cast(id % 5000 as string) AS g", "cast(hash(id) as double) AS score", "id % 7 AS len", "id")
+    local = rows.mapInArrow(_local_bounds("g", ORDER, 3, HELD_ROWS), "g string, score double, len long, id long, _bound boolean")
+    by = local.groupBy(F.spark_partition_id().alias("p"), "g").agg(F.count(F.lit(1)).alias("n"), F.count_if("_bound").alias("b"))
+    assert by.agg(F.count(F.lit(1)), F.max("n"), F.min("b"), F.max("b")).first() == (10_000, 3, 1, 1)
+
+
+@pytest.mark.parametrize("held", [1, 500])
+def test_what_a_partition_hands_on_early_changes_nothing(spark, held):
+    r = random.Random(2)
+    rows = [(f"g{r.randrange(4000)}", float(r.randrange(50)), r.randrange(3), i, "x") for i in range(150_000)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert {(x["g"], x["id"]) for x in top_n(df, "g", ORDER, 3, held_rows=held).collect()} == brute(rows, 3)
