@@ -25,7 +25,8 @@ def _split_contigs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.oversized(_split_contigs(spark, d), "genome_id", "contig_idx")
+    split = cut_lineage(_split_contigs(spark, d).select("genome_id", "contig_idx", "_size", "_segments"))
+    return segmentation.oversized(split, "genome_id", "contig_idx")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +35,8 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_genome_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.group_pieces(_split_contigs(spark, d).select("genome_id", "contig_idx", "_size", "_segments"), "genome_id", "contig_idx")
+    split = cut_lineage(_split_contigs(spark, d).select("genome_id", "contig_idx", "_size", "_segments"))
+    return segmentation.group_pieces(split, "genome_id", "contig_idx")
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:

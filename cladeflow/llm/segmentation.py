@@ -13,8 +13,8 @@ item share ``overlap`` units. From the start of a piece its cut is chosen within
   the window is the cut.
 
 Small items of a group (contigs of a genome) are put together, in order, into pieces of at most
-``limit``, which end at the ends of items. That needs lengths only. Runs of ``ITEMS_PER_BLOCK`` items of a
-group are put together on their own, so that a group of any size is spread over tasks.
+``limit``, which end at the ends of items. That needs lengths only. In groups over the limit, runs of ``ITEMS_PER_BLOCK`` items are
+put together on their own, so that a group of any size is spread over tasks; a piece more than needed may end there.
 
 Only letters count as units; case doesn't matter. Null and empty items have no units and make no piece.
 Repeated rows are the caller's to reduce.
@@ -90,13 +90,9 @@ def depths(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _climb(s: np.ndarray) -> np.ndarray:
     """For each place the value that is reached going left for as long as values don't fall."""
-    peak = s.copy()
-    rises = np.ones(len(s), bool)
-    rises[1:] = s[:-1] >= s[1:]
-    for i in range(1, len(s)):
-        if rises[i]:
-            peak[i] = peak[i - 1]
-    return peak
+    starts = np.ones(len(s), bool)
+    starts[1:] = s[:-1] < s[1:]
+    return s[np.maximum.accumulate(np.where(starts, np.arange(len(s)), 0))]
 
 
 def n_runs(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +175,11 @@ def split_items(rows: DataFrame, text: str, limit: int = LIMIT, overlap: int = O
 def group_pieces(split: DataFrame, group: str, index: str, limit: int = LIMIT) -> DataFrame:
     """Pieces of whole groups: (group, piece_block, piece, index, start, stop), a row for each stretch of an item
     that a piece holds. Items within the limit fill pieces in order; longer ones bring their own pieces."""
-    block = F.floor(F.col(index) / ITEMS_PER_BLOCK).alias("piece_block")
-    parts = split.where(F.col("_size") > 0).select(group, block, index, F.posexplode("_segments").alias("_k", "_s"), (F.size("_segments") > 1).alias("_own"))
+    some = split.where(F.col("_size") > 0)
+    large = some.groupBy(F.col(group).alias("_g")).agg(F.sum("_size").alias("_total")).where(F.col("_total") > limit)
+    some = some.join(large, F.col(group).eqNullSafe(F.col("_g")), "left")
+    block = F.when(F.col("_total").isNull(), F.lit(0).cast("long")).otherwise(F.floor(F.col(index) / ITEMS_PER_BLOCK)).alias("piece_block")
+    parts = some.select(group, block, index, F.posexplode("_segments").alias("_k", "_s"), (F.size("_segments") > 1).alias("_own"))
     parts = parts.select(group, "piece_block", index, "_k", "_own", F.col("_s.start").alias("start"), F.col("_s.stop").alias("stop"))
     packed = parts.repartition(group, "piece_block").sortWithinPartitions(group, "piece_block", index, "_k")
     schema = T.StructType([*packed.schema.fields, T.StructField("piece", T.LongType())])
@@ -213,8 +212,9 @@ def _next_fit(group: str, limit: int):
 
 
 def oversized(split: DataFrame, group: str, index: str, limit: int = LIMIT) -> DataFrame:
-    """(group, index) of the items with more units than the limit, and (group, -1) of such groups: those that
-    came out in more than one piece. A group's size is summed in part before the shuffle."""
+    """(group, index) of the items that came out in more than one piece, and (group, -1) of such groups. ``split`` is read three
+    times; give it checkpointed."""
     items = split.where(F.size("_segments") > 1).select(group, F.col(index).cast("int").alias(index))
-    groups = split.where(F.col("_size") > 0).groupBy(group).agg(F.sum("_size").alias("_n")).where(F.col("_n") > limit)
+    place = F.struct("piece_block", "piece")
+    groups = group_pieces(split, group, index, limit).groupBy(group).agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where(F.col("_a") != F.col("_b"))
     return items.unionByName(groups.select(group, F.lit(-1).cast("int").alias(index)))
