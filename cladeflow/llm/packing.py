@@ -35,29 +35,53 @@ EVEN_PARTS = range(2, 9)
 ITEMS_PER_SALT = 50_000
 
 
+def _layer(best: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
+    """(least of best[i] + cost(i, j) over i < j, the i that gives it) for j = 1 .. n. The best i never falls as j grows, so
+    the middle j of a stretch bounds the i of both halves: all stretches of a level are done at once, in n steps a level."""
+    n = len(best) - 1
+    least, choice = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    left, right, low, high = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(left):
+        mid = (left + right) // 2
+        size = np.minimum(high, mid - 1) - low + 1
+        at = np.cumsum(size) - size
+        i = np.repeat(low, size) + np.arange(int(size.sum())) - np.repeat(at, size)
+        value = best[i] + cost(i, np.repeat(mid, size))
+        smallest = np.minimum.reduceat(value, at)
+        hit = np.flatnonzero(value == np.repeat(smallest, size))
+        first = i[hit[np.searchsorted(hit, at)]]
+        least[mid], choice[mid] = smallest, first
+        reached = np.isfinite(smallest)  # what can't be reached bounds nothing
+        left, right, low, high = np.concatenate((left, mid + 1)), np.concatenate((mid - 1, right)), np.concatenate((low, np.where(reached, first, low))), np.concatenate((np.where(reached, first, high), high))
+        some = left <= right
+        left, right, low, high = left[some], right[some], low[some], high[some]
+    return least, choice
+
+
 def choose_boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds, ascending, the last one being the longest length. ``counts[l]``: items of length l."""
+    """Upper bounds, ascending, the last one being the longest length. ``counts[l]``: items of length l. With more buckets than
+    twice the even parts, bounds stand at each of them that a length lies beyond."""
     used = np.flatnonzero(counts)
     if len(used) == 0:
         return []
     n, amount = len(used), counts[used].astype(float)
     items, size = np.concatenate(([0.0], np.cumsum(amount))), np.concatenate(([0.0], np.cumsum(amount * used)))
-    i, j = np.arange(n + 1)[:, None], np.arange(1, n + 1)[None, :]
-    cost = np.where(i < j, used[j - 1] * (items[j] - items[i]) - (size[j] - size[i]), np.inf)  # lengths i .. j-1 in one bucket
-    if buckets > 2 * len(EVEN_PARTS):
-        for k in EVEN_PARTS:
-            below = np.searchsorted(used, (len(counts) - 1) // k, side="right")
-            cost[(i < below) & (j > below)] = np.inf
+    walls = np.array(sorted({int(np.searchsorted(used, (len(counts) - 1) // k, side="right")) for k in EVEN_PARTS}) if buckets > 2 * len(EVEN_PARTS) else [], np.int64)
+
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Padding of lengths i .. j-1 in one bucket."""
+        padded = used[j - 1] * (items[j] - items[i]) - (size[j] - size[i])
+        return np.where(np.searchsorted(walls, i, side="right") < np.searchsorted(walls, j, side="left"), np.inf, padded)
+
     best = np.concatenate(([0.0], np.full(n, np.inf)))
     choices = []
     for _ in range(min(buckets, n)):
-        total = best[:, None] + cost
-        choices.append(total.argmin(0))
-        best = np.concatenate(([np.inf], total.min(0)))
+        best, choice = _layer(best, cost)
+        choices.append(choice)
     bounds, at = [], n
     for choice in reversed(choices):
         bounds.append(int(used[at - 1]))
-        at = int(choice[at - 1])
+        at = int(choice[at])
         if at == 0:
             break
     return bounds[::-1]
