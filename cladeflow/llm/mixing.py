@@ -21,6 +21,7 @@ null sources, and those without tokens, take no part. Repeated rows are used eac
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 
 from cladeflow.session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 FILL = 0.95
 DOCS_PER_RUN = 50_000
 STEPS = 60
@@ -64,6 +67,8 @@ def solve_tilts(hist: DataFrame, targets: dict[str, float], caps: dict[str, int]
             x[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
         if worst < TOLERANCE:
             break
+    else:
+        log.warning("the tilts of %s sources are off their targets by a share of %.1e after %s steps", len(targets), worst, steps)
     return x
 
 
