@@ -35,12 +35,12 @@ EVEN_PARTS = range(2, 9)
 ITEMS_PER_SALT = 50_000
 
 
-def _layer(best: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
-    """(least of best[i] + cost(i, j) over i < j, the i that gives it) for j = 1 .. n. The best i never falls as j grows, so
-    the middle j of a stretch bounds the i of both halves: all stretches of a level are done at once, in n steps a level."""
-    n = len(best) - 1
-    least, choice = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-    left, right, low, high = (np.array([x]) for x in (1, n, 0, n - 1))
+def _layer(best: np.ndarray, cost, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least of best[i] + cost(i, j) over i < j, the i that gives it) for j = first .. last, all of which can be reached. The best
+    i never falls as j grows, so the middle j of a stretch bounds the i of both halves: all stretches of a level are done at
+    once, in about n steps a level."""
+    least, choice = np.full(len(best), np.inf), np.zeros(len(best), np.int64)
+    left, right, low, high = (np.array([x]) for x in (first, last, first - 1, last - 1))
     while len(left):
         mid = (left + right) // 2
         size = np.minimum(high, mid - 1) - low + 1
@@ -49,10 +49,9 @@ def _layer(best: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
         value = best[i] + cost(i, np.repeat(mid, size))
         smallest = np.minimum.reduceat(value, at)
         hit = np.flatnonzero(value == np.repeat(smallest, size))
-        first = i[hit[np.searchsorted(hit, at)]]
-        least[mid], choice[mid] = smallest, first
-        reached = np.isfinite(smallest)  # what can't be reached bounds nothing
-        left, right, low, high = np.concatenate((left, mid + 1)), np.concatenate((mid - 1, right)), np.concatenate((low, np.where(reached, first, low))), np.concatenate((np.where(reached, first, high), high))
+        taken = i[hit[np.searchsorted(hit, at)]]
+        least[mid], choice[mid] = smallest, taken
+        left, right, low, high = np.concatenate((left, mid + 1)), np.concatenate((mid - 1, right)), np.concatenate((low, taken)), np.concatenate((taken, high))
         some = left <= right
         left, right, low, high = left[some], right[some], low[some], high[some]
     return least, choice
@@ -75,8 +74,9 @@ def choose_boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
 
     best = np.concatenate(([0.0], np.full(n, np.inf)))
     choices = []
-    for _ in range(min(buckets, n)):
-        best, choice = _layer(best, cost)
+    inner = walls[(walls > 0) & (walls < n)]
+    for k in range(1, min(buckets, n) + 1):
+        best, choice = _layer(best, cost, k, int(inner[k - 1]) if k <= len(inner) else n)
         choices.append(choice)
     bounds, at = [], n
     for choice in reversed(choices):
