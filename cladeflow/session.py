@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. The one named in ``spark.checkpoint.dir`` wins; a local
-    folder is made only where neither that setting nor a directory on the context exists (tests)."""
+    """The shared checkpoint folder. The one named in ``spark.checkpoint.dir`` wins; a local folder is made only where neither
+    that setting nor a directory on the context exists and everything runs on this machine (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = getattr(sc, "master", "local")
+    if not named and not master.startswith("local"):
+        raise ValueError(f"{master}: spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cladeflow-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -27,6 +30,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of up to ``BROADCAST_WIDTH`` bytes that are broadcast at most.
+BROADCAST_ROWS, BROADCAST_WIDTH = 1 << 18, 64
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a checkpointed table of narrow rows, marked for broadcast if a count finds it small; a join then needs no shuffle
+    of its other side. Beyond the bound it is joined like any other table, with the same result."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
