@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the checkpoint folder, for the steps of an iteration: its size is that of its files. The size of a
+    checkpoint is an estimate that every join multiplies; after some steps planning is all that an iteration does."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(stored: DataFrame) -> None:
+    """Removes the files of a table of ``store`` that nothing reads any more."""
+    jvm, spark = stored.sparkSession._jvm, stored.sparkSession
+    for name in {os.path.dirname(f) for f in stored.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: Rows of up to ``BROADCAST_WIDTH`` bytes that are broadcast at most.
 BROADCAST_ROWS, BROADCAST_WIDTH = 1 << 18, 64
 
