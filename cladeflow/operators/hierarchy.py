@@ -11,7 +11,7 @@ before, and a tree of any depth, a chain too, takes few rounds. Levels have no h
 that all that is left lies on or below a cycle. Only numbers move here, so a cycle costs no more than a tree.
 
 ``build_hierarchy`` then extends the paths of what was reached by the same joins. Paths hold the ancestor pairs, from which
-descendants are counted or listed. Every round is checkpointed, so the plan doesn't grow with the depth, and joined by
+descendants are counted or listed. Every round is written to the checkpoint folder, so the plan doesn't grow with the depth, and joined by
 fragment and replicate, as an ancestor may be that of a third of all nodes. Pointer doubling over the unreached nodes alone carries the
 smallest id of the next 2^k steps along, which on the cycle is the smallest id of the cycle.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.operators.fragment_replicate import spread_join
-from cladeflow.session import cut_lineage
+from cladeflow.session import discard, store
 
 
 def resolve_merged(merged: DataFrame, old: str = "old_taxid", new: str = "new_taxid") -> DataFrame:
@@ -33,7 +33,7 @@ def resolve_merged(merged: DataFrame, old: str = "old_taxid", new: str = "new_ta
     A null replacement ends a chain at the id itself being unknown (null). Rows that name two
     replacements of one id: the smaller id holds, so that results don't depend on the row order."""
     step = merged.where(F.col(old).isNotNull()).groupBy(F.col(old).cast("long").alias("old_id")).agg(F.min(F.col(new).cast("long")).alias("to"))
-    step = cut_lineage(step)
+    step = store(step)
     open_before = -1
     while True:
         nxt = step.select(F.col("old_id").alias("_o"), F.col("to").alias("_t"))
@@ -42,7 +42,7 @@ def resolve_merged(merged: DataFrame, old: str = "old_taxid", new: str = "new_ta
         if open_now in (0, open_before):
             break
         open_before = open_now
-        step = cut_lineage(joined.select("old_id", F.when(F.col("_o").isNotNull(), F.col("_t")).otherwise(F.col("to")).alias("to")))
+        step = store(joined.select("old_id", F.when(F.col("_o").isNotNull(), F.col("_t")).otherwise(F.col("to")).alias("to")))
     return joined.select("old_id", F.when(F.col("_o").isNull(), F.col("to")).alias("final_id"))
 
 
@@ -73,13 +73,13 @@ def _rounds(links: DataFrame, held: Column, join_held) -> tuple[DataFrame, DataF
     """(reached, unreached) of (node, parent), each with ``held``: what a node holds of the way to its ancestor ``top``.
     ``join_held`` puts the ancestor's and the node's together. ``top`` is null once a root is reached, which is ``root``."""
     first = links.select("node", "parent", F.col("parent").alias("top"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), held.alias("held"))
-    first = cut_lineage(first)
+    first = store(first)
     done, open_ = first.where(F.col("top").isNull()), first.where(F.col("top").isNotNull())
     left = open_.count()
     while left:
         above = done.unionByName(open_).select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("root").alias("_root"), F.col("held").alias("_held"))
         moved = spread_join(open_, above, "top", salt=F.xxhash64("node"))
-        moved = cut_lineage(moved.select("node", "parent", F.col("_top").alias("top"), F.col("_root").alias("root"), join_held("_held", "held").alias("held")))
+        moved = store(moved.select("node", "parent", F.col("_top").alias("top"), F.col("_root").alias("root"), join_held("_held", "held").alias("held")))
         still = moved.where(F.col("top").isNotNull()).count()
         if still == left:
             break
@@ -106,17 +106,18 @@ def find_cycles(unreached: DataFrame) -> DataFrame:
     """(cycle_id, node) for each node on or below a cycle; ``unreached`` must hold all nodes of each cycle. The nodes that
     all steps so far lead to get fewer until only those on cycles are left; once they and all smallest ids stay as they
     are when the steps double, every cycle has been gone round."""
-    step = cut_lineage(unreached.select("node", F.col("parent").alias("to"), F.col("node").alias("low")))
+    step = store(unreached.select("node", F.col("parent").alias("to"), F.col("node").alias("low")))
     ends = -1
     while True:
-        nxt = step.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
-        ahead = spread_join(step, nxt, "to", salt=F.xxhash64("node"))
-        step = cut_lineage(ahead.select("node", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("_moved")))
+        last = step
+        nxt = last.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        ahead = spread_join(last.select("node", "to", "low"), nxt, "to", salt=F.xxhash64("node"))
+        step = store(ahead.select("node", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("_moved")))
+        discard(last)
         seen = step.agg(F.count_distinct("to").alias("ends"), F.count_if("_moved").alias("moved")).first()
         if seen["ends"] == ends and seen["moved"] == 0:
             break
         ends = seen["ends"]
-        step = step.drop("_moved")
     landed = step.select(F.col("node").alias("to"), F.col("low").alias("cycle_id"))
     return spread_join(step.select("node", "to"), landed, "to", salt=F.xxhash64("node")).select("cycle_id", "node")
 
