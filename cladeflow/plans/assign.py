@@ -20,16 +20,15 @@ def genus_ok(cfg: ProfileConfig) -> Column:
 
 
 def candidates(kept: DataFrame, cfg: ProfileConfig, fallback: bool = False) -> DataFrame:
-    """Alignments that pass, with ``taxid`` and ``rank``; genus candidates only for reads without a species candidate.
-    Precedence is one max over the read, in the partitioning that the best-alignment window needs as well."""
+    """Alignments that pass, with ``taxid`` and ``rank``; genus candidates only for reads without a species candidate. The reads with
+    one are made distinct before they are sent, and only rows that could be genus candidates meet them."""
     species = kept.withColumn("_sp", species_ok(cfg))
     if not fallback:
         return species.where("_sp").withColumn("taxid", F.col("species_taxid")).withColumn("rank", F.lit("species")).drop("_sp")
-    both = species.where(F.col("_sp") | genus_ok(cfg))
-    any_species = F.max(F.col("_sp").cast("int")).over(Window.partitionBy("read_name"))
-    both = both.withColumn("_any", any_species).where(F.col("_sp") | (F.col("_any") == 0))
-    both = both.withColumn("taxid", F.when(F.col("_sp"), F.col("species_taxid")).otherwise(F.col("genus_taxid"))).withColumn("rank", F.when(F.col("_sp"), "species").otherwise("genus"))
-    return both.drop("_sp", "_any")
+    first = species.where("_sp").withColumn("taxid", F.col("species_taxid")).withColumn("rank", F.lit("species"))
+    reads = first.select(F.col("read_name").alias("_read")).distinct()
+    second = species.where(~F.col("_sp") & genus_ok(cfg)).join(reads, F.col("read_name").eqNullSafe(F.col("_read")), "left_anti")
+    return first.unionByName(second.withColumn("taxid", F.col("genus_taxid")).withColumn("rank", F.lit("genus"))).drop("_sp")
 
 
 def best_per_taxon(cands: DataFrame, by: str = "identity") -> DataFrame:

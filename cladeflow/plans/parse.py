@@ -39,10 +39,7 @@ def reference_dim(refs: DataFrame, tax: Taxonomy | None = None, lineage: DataFra
     if tax is None:
         return rows.withColumn("species_taxid", F.col("species_raw")).withColumn("genus_taxid", F.lit(None).cast("long"))
     distinct = rows.where(F.col("species_raw").isNotNull()).select("species_raw").distinct()
-    known = taxa.of_ids(distinct, "species_raw", tax, taxa.rank_ancestors(lineage, tax, "species"), "_s")
-    known = taxa.of_ids(known, "species_raw", tax, taxa.rank_ancestors(lineage, tax, "genus"), "genus_taxid")
-    rows = rows.join(known, "species_raw", "left")
-    return rows.withColumn("species_taxid", F.coalesce("_s", "species_raw")).drop("_s")
+    return rows.join(taxa.species_and_genus(distinct, "species_raw", tax, lineage), "species_raw", "left")
 
 
 def database_is_subsampled(refs: DataFrame) -> bool:

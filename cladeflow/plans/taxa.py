@@ -40,6 +40,17 @@ def rank_ancestors(lineage: DataFrame, tax: Taxonomy, rank: str) -> DataFrame:
     return steps.join(ranked, "node").groupBy("taxid").agg(F.max_by("node", "level").alias("ancestor"))
 
 
+def species_and_genus(ids: DataFrame, column: str, tax: Taxonomy, lineage: DataFrame) -> DataFrame:
+    """``ids`` with ``species_taxid`` (the nearest species on the way up, else the id as given) and ``genus_taxid``; one pass over
+    the paths of the ids asked for finds both."""
+    paths = of_ids(ids, column, tax, lineage, "_path")
+    steps = paths.select(column, F.posexplode("_path").alias("_level", "_node"))
+    ranked = tax.nodes.where(F.col("rank").isin("species", "genus")).select(F.col("taxid").alias("_node"), F.col("rank").alias("_rank"))
+    nearest = lambda rank: F.max_by("_node", F.when(F.col("_rank") == rank, F.col("_level")))
+    found = steps.join(ranked, "_node").groupBy(column).agg(nearest("species").alias("_s"), nearest("genus").alias("genus_taxid"))
+    return ids.join(found, column, "left").withColumn("species_taxid", F.coalesce("_s", column)).drop("_s")
+
+
 def of_ids(ids: DataFrame, column: str, tax: Taxonomy, by_taxid: DataFrame, out: str) -> DataFrame:
     """``ids`` with ``out`` from (taxid, value), after replacing retired ids once; null where there is none."""
     value = [c for c in by_taxid.columns if c != "taxid"][0]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +25,7 @@ def taxonomy(spark: SparkSession, d: str) -> Taxonomy:
     return Taxonomy(nodes.select("taxid", "parent_taxid", "rank"), nodes.where(F.col("sci_name").isNotNull()).select("taxid", "sci_name"), merged, load(spark, d, "tax_deleted").select("taxid").distinct())
 
 
-@lru_cache(maxsize=4)
 def lineages(spark: SparkSession, d: str) -> DataFrame:
-    """Built once for a session and a folder of tables; every query of the taxonomy joins it."""
     return cut_lineage(taxa.lineages(taxonomy(spark, d)))
 
 
@@ -38,7 +34,7 @@ def current_alignments(spark: SparkSession, d: str) -> DataFrame:
     return current_rows(a, ["aln_id"], "ingested_at", F.col("read_name"), F.col("identity").desc_nulls_last(), F.col("mapped_len").desc_nulls_last())
 
 
-def parsed(spark: SparkSession, d: str, with_taxonomy: bool = True) -> DataFrame:
+def parsed(spark: SparkSession, d: str, with_taxonomy: bool = True, line: DataFrame | None = None) -> DataFrame:
     """The table as parsed alignments: a row that lacks what the profile needs isn't kept, but its read counts."""
     a = current_alignments(spark, d)
     ok = F.col("species_taxid").isNotNull() & (F.coalesce("asm", F.lit("")) != "") & F.col("identity").isNotNull() & ~F.isnan("identity") & (F.coalesce("asm_len", F.lit(0.0)) > 0) & F.col("span").isNotNull()
@@ -50,12 +46,9 @@ def parsed(spark: SparkSession, d: str, with_taxonomy: bool = True) -> DataFrame
     out = a.select("read_name", F.col("aln_id").alias("ordinal"), ok.alias("kept"), F.lit(True).alias("counted"), "asm", "acc", fields["strain_taxid"].alias("strain_taxid"), F.col("species_taxid").alias("species_raw"), "asm_len", "identity", "fraction", "mapped_len", pair(s, e).alias("span"), pair(F.greatest(s - 2000, F.lit(1)), F.least(e + 2000, length + 1)).alias("fixed"), pair(F.greatest(middle - flex, F.lit(1)), F.least(middle + flex, length + 1)).alias("flex"))
     if not with_taxonomy:
         return out.withColumn("species_taxid", F.col("species_raw")).withColumn("genus_taxid", F.lit(None).cast("long"))
-    tax, line = taxonomy(spark, d), lineages(spark, d)
+    tax = taxonomy(spark, d)
     known = out.where(F.col("species_raw").isNotNull()).select("species_raw").distinct()
-    known = taxa.of_ids(known, "species_raw", tax, taxa.rank_ancestors(line, tax, "species"), "_s")
-    known = taxa.of_ids(known, "species_raw", tax, taxa.rank_ancestors(line, tax, "genus"), "genus_taxid")
-    known = known.withColumn("species_taxid", F.coalesce("_s", "species_raw")).drop("_s")
-    return out.join(known, "species_raw", "left")
+    return out.join(taxa.species_and_genus(known, "species_raw", tax, lineages(spark, d) if line is None else line), "species_raw", "left")
 
 
 def refs_dim(spark: SparkSession, d: str) -> DataFrame:
@@ -264,11 +257,12 @@ def _strain_lines(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str, cfg: ProfileConfig) -> profile.Profile:
-    p = cut_lineage(parsed(spark, d))
+    line = lineages(spark, d)
+    p = cut_lineage(parsed(spark, d, line=line))
     lines = current_refs(spark, d).where(F.col("length").isNotNull()).select("ref_name", F.col("ref_id").alias("ord"))
     if cfg.strain:
         lines = _strain_lines(spark, d, p)
-    return profile.run_profile(p, cut_lineage(lines), taxonomy(spark, d), cfg, lineage=lineages(spark, d), stored=True)
+    return profile.run_profile(p, cut_lineage(lines), taxonomy(spark, d), cfg, lineage=line, stored=True)
 
 
 def profile_full(spark: SparkSession, d: str) -> DataFrame:
@@ -289,17 +283,19 @@ def profile_strain_final(spark: SparkSession, d: str) -> DataFrame:
 
 def classification_strain(spark: SparkSession, d: str) -> DataFrame:
     """Also where references are sampled, which a run writes no classification for."""
-    p, tax = cut_lineage(parsed(spark, d)), taxonomy(spark, d)
-    parts = profile.strain_parts(p.where("kept"), cut_lineage(_strain_lines(spark, d, p)), tax, STRAIN, lineages(spark, d))
+    tax, line = taxonomy(spark, d), lineages(spark, d)
+    p = cut_lineage(parsed(spark, d, line=line))
+    parts = profile.strain_parts(p.where("kept"), cut_lineage(_strain_lines(spark, d, p)), tax, STRAIN, line)
     return profile.strain_classification(parts.classed, parts.em, parts.ancestors, tax)
 
 
 def classification(spark: SparkSession, d: str) -> DataFrame:
-    rows = classed(spark, d)
-    known, members = cut_lineage(ambiguity.certain(rows)), cut_lineage(ambiguity.class_members(rows))
     tax, line = taxonomy(spark, d), lineages(spark, d)
+    one = cut_lineage(assign.best_per_taxon(assign.candidates(parsed(spark, d, line=line).where("kept"), CFG)))
+    rows = cut_lineage(ambiguity.with_class(one))
+    known, members = cut_lineage(ambiguity.certain(rows)), cut_lineage(ambiguity.class_members(rows))
     marked = ambiguity.support(members, known)
-    r = ambiguity.resolve(known, members, coverage(spark, d), line, tax)
+    r = ambiguity.resolve(known, members, cut_lineage(assign.taxon_coverage(one)), line, tax)
     whole = marked.where(F.col("n_ok") == F.col("size")).select("class").distinct()
     return profile.classification(rows, em.share_out(r.known, r.members), whole, r.ancestors, tax)
 
