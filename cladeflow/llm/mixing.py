@@ -59,6 +59,8 @@ def solve_tilts(hist: DataFrame, targets: dict[str, float], caps: dict[str, int]
         for r in sums:
             s, miss = r["source"], r["got"] - targets[r["source"]]
             worst = max(worst, abs(miss) / targets[s])
+            if abs(miss) < TOLERANCE * targets[s]:
+                continue  # solved; a further step would leave the bracket it has closed
             if miss > 0:
                 high[s] = x[s]
             else:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -42,3 +43,15 @@ def test_nothing_to_mix(spark):
     rows, shares = mixed(spark, [(1, "other", 5)])
     assert rows == [] and all(x["actual_share"] == 0 for x in shares.values())
     assert mixed(spark, [])[0] == []
+
+
+def test_a_source_that_is_solved_early_stays_solved(spark):
+    """One source converges in a few steps while the other takes many more."""
+    lengths = {"a": [3394, 1481, 798, 601, 579, 423], "b": [1] * 500 + [200_000]}
+    hist = spark.createDataFrame([(s, n, v.count(n)) for s, v in lengths.items() for n in set(v)], "source string, n_tokens long, n long")
+    targets, caps = {"a": 25324.0, "b": 0.9995 * 2 * sum(lengths["b"])}, {"a": 4, "b": 2}
+    means = {s: sum(v) / len(v) for s, v in lengths.items()}
+    x = mx.solve_tilts(hist, targets, caps, means)
+    for s, v in lengths.items():
+        got = sum(caps[s] / (1 + math.exp(-x[s] * n / means[s])) for n in v)
+        assert abs(got - targets[s]) < 1e-6 * targets[s]
