@@ -249,6 +249,35 @@ def em_profile(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_em(spark, d).state)
 
 
+def _resolve(spark: SparkSession, d: str) -> tuple[DataFrame, ambiguity.Resolved]:
+    """(members of all classes with their support, what becomes of them)."""
+    tax, line = taxonomy(spark, d), lineages(spark, d)
+    one = cut_lineage(assign.best_per_taxon(assign.candidates(parsed(spark, d, line=line).where("kept"), CFG)))
+    rows = cut_lineage(ambiguity.with_class(one))
+    known, members = cut_lineage(ambiguity.certain(rows)), cut_lineage(ambiguity.class_members(rows))
+    return rows, ambiguity.resolve(known, members, cut_lineage(assign.taxon_coverage(one)), line, tax)
+
+
+def class_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """The majority ancestors of classes without a certain member."""
+    return _resolve(spark, d)[1].ancestors.select(_key("class"), F.col("lca").alias("taxid"))
+
+
+def resolved_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What is certain once classes were pruned or went to their ancestors."""
+    return _rounded(_resolve(spark, d)[1].known)
+
+
+def resolved_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_resolve(spark, d)[1].coverage).select("taxid", *[F.round(c, 9).alias(c) for c in ("breadth", "fixed_chunk", "flex_chunk")])
+
+
+def profile_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The profile before its filters, but for the probabilities."""
+    raw = _run(spark, d, CFG).raw
+    return raw.select("name", "taxid", "rank", *[F.round(c, 9).alias(c) for c in profile.FIXED])
+
+
 def _strain_lines(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
     names = current_alignments(spark, d).groupBy("ref_name").agg(F.min("aln_id").alias("ord")).where(F.col("ref_name").isNotNull())
     fields = parse.name_fields()
@@ -415,7 +444,7 @@ def subsample_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (aln_parse, mate_and_qc_filters, cigar_identity, ref_dim, run_totals, filter_stats, species_candidates, genus_fallback, best_alignment, best_alignment_strain, interval_union, coverage_by_taxon, coverage_strain, unambiguous_totals, ambiguity_classes, class_support, class_prune, class_support_all, class_prune_all, lineage, species_normalise, genus_resolve, majority_lca, taxon_names_merged, em_fixed_iter, em_profile, profile_full, profile_raw, profile_strain, profile_strain_final, classification, classification_strain, expected_breadth, pvalue_exact, pvalue_normal, pvalue_binomial, chunk_threshold, ratio_filter, pvalue_filter, abundance_renorm, host_annotation, subsample_scaling, subsample_allocation, subsample_min_length, subsample_segments)
+    for f in (aln_parse, mate_and_qc_filters, cigar_identity, ref_dim, run_totals, filter_stats, species_candidates, genus_fallback, best_alignment, best_alignment_strain, interval_union, coverage_by_taxon, coverage_strain, unambiguous_totals, ambiguity_classes, class_support, class_prune, class_support_all, class_prune_all, lineage, species_normalise, genus_resolve, majority_lca, taxon_names_merged, em_fixed_iter, em_profile, class_ancestors, resolved_totals, resolved_coverage, profile_metrics, profile_full, profile_raw, profile_strain, profile_strain_final, classification, classification_strain, expected_breadth, pvalue_exact, pvalue_normal, pvalue_binomial, chunk_threshold, ratio_filter, pvalue_filter, abundance_renorm, host_annotation, subsample_scaling, subsample_allocation, subsample_min_length, subsample_segments)
 }
 _LINEAGE = """m1 AS (SELECT old_taxid, min(new_taxid) AS new_taxid FROM tax_merged GROUP BY 1),
 cn AS (SELECT taxid, parent_taxid, rank, sci_name FROM tax_nodes WHERE taxid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY taxid ORDER BY loaded_at DESC) = 1),
@@ -608,3 +637,79 @@ SQL["class_prune_all"] = f"""WITH RECURSIVE {_CLASSES}, {_SUP_ALL},
 p AS (SELECT class, taxid, n, depth, maplen FROM sup_all WHERE ok AND n_ok < len(class)),
 q AS (SELECT s.class, p.taxid, p.n, p.depth, p.maplen FROM p JOIN (SELECT class AS c0, list_sort(list(taxid)) AS class FROM p GROUP BY 1) s ON s.c0 = p.class)
 SELECT {_KEY}, taxid, round(sum(n), 6) AS n, round(sum(depth), 6) AS depth, round(sum(maplen), 6) AS maplen FROM q GROUP BY class, taxid"""
+
+# The distribution function of the normal law, by its series around 0.
+SQL["pvalue_normal"] = f"""{_PV.format(current=_CURRENT, m="m0 + 2000", cells="4000 + len % 1000")},
+z AS (SELECT *, (k + 0.5 - cells * p) / sqrt(cells * p * (1 - p)) AS z FROM o),
+terms AS (SELECT *, unnest(range(200)) AS i FROM z)
+SELECT asm, acc, m, cells, k, round(0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * sum(CASE WHEN z = 0 THEN 0 ELSE exp((2 * i + 1) * ln(abs(z)) + i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2)) END), 6) AS p
+FROM terms GROUP BY asm, acc, m, cells, k, z"""
+
+
+def _em_to_the_end(known: str, members: str, tol: float = 1e-5) -> str:
+    """Iterations (it) of EM over ``known`` and ``members`` until no more than a share of ``tol`` moves."""
+    return f"""it AS (
+  SELECT 0 AS i, taxid, n, depth, maplen, CAST(1e9 AS DOUBLE) AS moved FROM {known}
+  UNION ALL
+  SELECT i, taxid, n, depth, maplen, sum(abs(depth - old)) OVER () / greatest(sum(old) OVER (), 1e-12) FROM (
+    SELECT s.i + 1 AS i, u.taxid, u.n + coalesce(g.n, 0) AS n, u.depth + coalesce(g.depth, 0) AS depth, u.maplen + coalesce(g.maplen, 0) AS maplen, s.depth AS old
+    FROM it s JOIN {known} u USING (taxid) LEFT JOIN (
+      SELECT taxid, sum(n * wt) AS n, sum(depth * wt) AS depth, sum(maplen * wt) AS maplen FROM (
+        SELECT *, CASE WHEN max(f) OVER (PARTITION BY class) < 0.99 THEN f WHEN f >= 0.99 THEN 1.0 ELSE 0.0 END AS wt
+        FROM (SELECT w.*, s2.depth / sum(s2.depth) OVER (PARTITION BY w.class) AS f FROM {members} w JOIN it s2 USING (taxid)))
+      GROUP BY 1) g USING (taxid)
+    WHERE s.moved > {tol} AND s.i < 1000))"""
+
+
+SQL["em_profile"] = f"""WITH RECURSIVE {_CLASSES},
+whole AS (SELECT m.* FROM mem m JOIN (SELECT m.class FROM mem m LEFT JOIN uni u USING (taxid) GROUP BY 1 HAVING count(u.taxid) = count(*)) USING (class)),
+{_em_to_the_end("uni", "whole")}
+SELECT taxid, {_SUMS} FROM it WHERE i = (SELECT max(i) FROM it)"""
+_RESOLVED_SQL = f"""{_CLASSES}, {_SUP_ALL}, {_COVERAGE},
+steps2 AS (SELECT s.class, s.taxid, unnest(t.way) AS node, unnest(range(len(t.way))) AS lvl FROM sup_all s LEFT JOIN m1 ON m1.old_taxid = s.taxid JOIN tree t ON t.taxid = coalesce(m1.new_taxid, s.taxid) WHERE n_ok = 0),
+lca AS (
+  SELECT class, arg_max(node, lvl) AS lca FROM (SELECT class, lvl, node, count(*) AS k FROM steps2 GROUP BY 1, 2, 3) WHERE k >= ceil(CAST(0.7 AS DOUBLE) * len(class)) GROUP BY 1),
+gain AS (SELECT lca AS taxid, max(n) AS n, avg(depth) AS depth, avg(maplen) AS maplen FROM sup_all JOIN lca USING (class) GROUP BY class, lca),
+kn AS (
+  SELECT taxid, sum(n) AS n, sum(depth) AS depth, sum(maplen) AS maplen FROM (
+    SELECT taxid, n, depth, maplen FROM uni UNION ALL SELECT taxid, n, depth, maplen FROM sup_all WHERE ok AND n_ok = 1 AND n_ok < len(class) UNION ALL SELECT taxid, n, depth, maplen FROM gain) GROUP BY 1),
+part AS (SELECT * FROM sup_all WHERE ok AND n_ok > 1 AND n_ok < len(class)),
+mm AS (
+  SELECT class, taxid, sum(n) AS n, sum(depth) AS depth, sum(maplen) AS maplen FROM (
+    SELECT class, taxid, n, depth, maplen FROM sup_all WHERE n_ok = len(class)
+    UNION ALL SELECT c.class, p.taxid, p.n, p.depth, p.maplen FROM part p JOIN (SELECT class AS c0, list_sort(list(taxid)) AS class FROM part GROUP BY 1) c ON c.c0 = p.class) GROUP BY 1, 2),
+over_ AS (SELECT l.lca AS taxid, max(t.breadth) AS breadth, max(t.fixed_chunk) AS fixed_chunk, max(t.flex_chunk) AS flex_chunk FROM sup_all s JOIN lca l USING (class) JOIN tcov t ON t.taxid = s.taxid GROUP BY 1),
+rcov AS (
+  SELECT coalesce(o.taxid, t.taxid) AS taxid, coalesce(o.breadth, t.breadth) AS breadth, coalesce(o.fixed_chunk, t.fixed_chunk) AS fixed_chunk, coalesce(o.flex_chunk, t.flex_chunk) AS flex_chunk
+  FROM tcov t FULL JOIN over_ o ON o.taxid = t.taxid),
+lab AS (
+  SELECT i.taxid, CASE WHEN d.taxid IS NULL THEN cn.sci_name END AS name, CASE WHEN d.taxid IS NULL THEN cn.rank END AS rank
+  FROM (SELECT taxid FROM kn UNION SELECT taxid FROM mm UNION SELECT lca FROM lca) i LEFT JOIN m1 ON m1.old_taxid = i.taxid
+  LEFT JOIN cn ON cn.taxid = coalesce(m1.new_taxid, i.taxid) LEFT JOIN (SELECT DISTINCT taxid FROM tax_deleted) d ON d.taxid = coalesce(m1.new_taxid, i.taxid))"""
+SQL["class_ancestors"] = f"WITH RECURSIVE {_RESOLVED_SQL} SELECT {_KEY}, lca AS taxid FROM lca"
+SQL["resolved_totals"] = f"WITH RECURSIVE {_RESOLVED_SQL} SELECT taxid, {_SUMS} FROM kn"
+SQL["resolved_coverage"] = f"WITH RECURSIVE {_RESOLVED_SQL} SELECT taxid, round(breadth, 9) AS breadth, round(fixed_chunk, 9) AS fixed_chunk, round(flex_chunk, 9) AS flex_chunk FROM rcov"
+_EM_ALL = f"WITH RECURSIVE {_RESOLVED_SQL}, {_em_to_the_end('kn', 'mm')}, fin AS (SELECT * FROM it WHERE i = (SELECT max(i) FROM it))"
+SQL["classification"] = f"""{_EM_ALL},
+fr AS (SELECT class, taxid, f, max(f) OVER (PARTITION BY class) >= 0.99 AS taken FROM (SELECT w.class, w.taxid, s.depth / sum(s.depth) OVER (PARTITION BY w.class) AS f FROM mm w JOIN it s USING (taxid) WHERE s.i = (SELECT max(i) - 1 FROM it))),
+fq AS (SELECT class, taxid, CASE WHEN taken THEN 1.0 ELSE {_R5.format("f")} END AS f, taken FROM fr WHERE NOT taken OR f >= 0.99),
+fs AS (SELECT class, taxid, CASE WHEN taken THEN f ELSE f / sum(f) OVER (PARTITION BY class) END AS f FROM fq),
+calls AS (
+  SELECT class, list(taxid ORDER BY f DESC, taxid)[1] AS taxid, string_agg(CAST(taxid AS VARCHAR), ';' ORDER BY f DESC, taxid) AS taxids,
+    string_agg(regexp_replace(regexp_replace(printf('%.5f', f), '0+$', ''), '\\.$', ''), ';' ORDER BY f DESC, taxid) AS fractions
+  FROM fs WHERE class IN (SELECT class FROM sup_all WHERE n_ok = len(class)) GROUP BY 1
+  UNION ALL SELECT class, lca, array_to_string(class, ';'), '1' FROM lca)
+SELECT read_name, taxid, 'species' AS rank, CAST(taxid AS VARCHAR) AS taxids, '1' AS fractions FROM cls WHERE len(class) = 1
+UNION ALL SELECT r.read_name, c.taxid, coalesce(l.rank, 'no rank'), c.taxids, c.fractions FROM (SELECT DISTINCT read_name, class FROM cls WHERE len(class) > 1) r JOIN calls c USING (class) LEFT JOIN lab l ON l.taxid = c.taxid"""
+_SHOWN = {
+    "reads": "v.n * coalesce(sc.scale, 1.0)", "depth": "v.depth", "abundance": "CASE WHEN whole <= 2.220446049250313e-16 THEN 0 ELSE v.depth / whole END", "breadth": "least(coalesce(c.breadth, 0), 1)", "expected_breadth": "CASE WHEN v.n = 0 THEN 0 ELSE 1 - pow(1 - v.depth / v.n, v.n) END",
+    "fixed_chunk": "least(coalesce(c.fixed_chunk, 0), 1)", "flex_chunk": "least(coalesce(c.flex_chunk, 0), 1)", "expected_flex": "1 - pow(1 - 1 / v.chunks, v.n)",
+}
+SQL["profile_metrics"] = f"""{_EM_ALL},
+r1 AS (
+  SELECT ref_id, try_cast(split_part(ref_name, '|', 2) AS BIGINT) AS a, try_cast(split_part(ref_name, '|', 3) AS BIGINT) AS b, try_cast(split_part(ref_name, '|', 5) AS BIGINT) AS g, try_cast(split_part(ref_name, '|', 6) AS BIGINT) AS z, len(string_split(ref_name, '|')) AS k FROM refs WHERE ref_name IS NOT NULL AND length IS NOT NULL),
+us AS (SELECT ref_id, a AS taxid, g / z AS scale FROM r1 WHERE k >= 6 AND z > 0 AND z < g UNION SELECT ref_id, b, g / z FROM r1 WHERE k >= 6 AND z > 0 AND z < g),
+sc AS (SELECT taxid, arg_min(scale, ref_id) AS scale FROM us WHERE taxid IS NOT NULL GROUP BY 1),
+v AS (SELECT *, (SELECT sum(depth) * 0.01 FROM fin) AS whole, CASE WHEN depth <= 2.220446049250313e-16 OR maplen / depth <= 0 THEN 1 ELSE greatest(CAST(floor(sqrt(maplen / depth) / 2) AS BIGINT), 1) END AS chunks FROM fin WHERE n >= 0.5)
+SELECT l.name, v.taxid, coalesce(l.rank, 'no rank') AS rank, {", ".join(f"CAST(round({x}, 9) AS DOUBLE) AS {c}" for c, x in _SHOWN.items())}
+FROM v JOIN lab l ON l.taxid = v.taxid LEFT JOIN rcov c ON c.taxid = v.taxid LEFT JOIN sc ON sc.taxid = v.taxid WHERE l.name IS NOT NULL"""
