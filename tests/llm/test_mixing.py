@@ -45,13 +45,15 @@ def test_nothing_to_mix(spark):
     assert mixed(spark, [])[0] == []
 
 
-def test_a_source_that_is_solved_early_stays_solved(spark):
-    """One source converges in a few steps while the other takes many more."""
-    lengths = {"a": [3394, 1481, 798, 601, 579, 423], "b": [1] * 500 + [200_000]}
+def test_sources_that_are_solved_stay_solved(spark):
+    """Ten sources that take different numbers of steps; none leaves its solution while others are under way."""
+    r = random.Random(0)
+    lengths = {f"s{k}": [r.randrange(20, 4000) for _ in range(r.randrange(3, 40))] for k in range(10)}
     hist = spark.createDataFrame([(s, n, v.count(n)) for s, v in lengths.items() for n in set(v)], "source string, n_tokens long, n long")
-    targets, caps = {"a": 25324.0, "b": 0.9995 * 2 * sum(lengths["b"])}, {"a": 4, "b": 2}
+    caps = {s: r.randrange(1, 5) for s in lengths}
+    targets = {s: sum(v) * caps[s] * r.uniform(0.1, 0.95) for s, v in lengths.items()}
     means = {s: sum(v) / len(v) for s, v in lengths.items()}
-    x = mx.solve_tilts(hist, targets, caps, means)
+    x = mx.solve_tilts(hist, targets, caps, means, steps=15)
     for s, v in lengths.items():
-        got = sum(caps[s] / (1 + math.exp(-x[s] * n / means[s])) for n in v)
+        got = sum(n * caps[s] / (1 + math.exp(-x[s] * n / means[s])) for n in v)
         assert abs(got - targets[s]) < 1e-6 * targets[s]
