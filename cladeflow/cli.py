@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import shlex
 import sys
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,8 @@ from cladeflow.session import cut_lineage
 from cladeflow.sources import aligner, sam, tables
 
 log = logging.getLogger("cladeflow")
+#: Where a taxonomy dump lies that no option names.
+DMP_DIR = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("profile", help="profile reads or an alignment file")
     a.add_argument("--db", help="aligner database")
-    a.add_argument("--dmp-dir", required=True, help="folder of nodes.dmp, names.dmp, merged.dmp and, if there is one, delnodes.dmp")
+    a.add_argument("--dmp-dir", default=DMP_DIR, help="folder of nodes.dmp, names.dmp, merged.dmp and, if there is one, delnodes.dmp; by default the package's folder data")
     a.add_argument("-i", "--in-seq", nargs="+", default=[])
     a.add_argument("-o", "--outprefix", required=True)
     a.add_argument("-t", "--threads", type=int, default=20)
@@ -95,15 +98,19 @@ def profile_file(spark: SparkSession, path: str, dmp_dir: str, cfg: ProfileConfi
 def run_profile(spark: SparkSession, a: argparse.Namespace) -> None:
     cfg = config_of(a)
     log.info("%s", cfg)
+    detailed = a.verbose or a.very_verbose
     path, made = alignment_file(a)
     p = profile_file(spark, path, a.dmp_dir, cfg, a.pathogen_host)
     log.info("reads %s, aligned %s, alignments %s", p.totals.reads, p.totals.aligned_reads, p.totals.alignments)
+    if detailed:
+        log.info("alignments: %s", parse.filter_stats(p.parsed, cfg).first().asDict() | parse.skipped_references(p.parsed).first().asDict())
+        log.info("shares of ambiguous reads: %s iterations, converged: %s", p.em.iterations, p.em.converged)
     infix = ".pathogen" if cfg.host is not None else ""
     tables.write_tsv(profile.rendered(p.final), f"{a.outprefix}{infix}.profile.txt")
     if cfg.keep_raw:
         tables.write_tsv(profile.rendered(p.raw), f"{a.outprefix}{infix}.rprofile.txt")
     if p.classified is not None:
-        tables.write_lines(p.classified, f"{a.outprefix}.classify.txt")
+        tables.write_tsv(p.classified, f"{a.outprefix}.classify.txt")
     if a.compress_sam and made:
         tables.gzip_file(path)
 
@@ -122,12 +129,18 @@ def run_index(spark: SparkSession, a: argparse.Namespace) -> None:
         tables.gzip_file(fasta)
 
 
+def command_line(argv: list[str]) -> str:
+    """What a shell would take to run the same again."""
+    return shlex.join(["cladeflow", *argv])
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     level = logging.DEBUG if getattr(a, "very_verbose", False) else logging.INFO
     logging.basicConfig(level=level, format="%(asctime)s %(name)s %(levelname)s %(message)s", stream=sys.stdout)
     if hasattr(a, "outprefix"):
         logging.getLogger().addHandler(logging.FileHandler(f"{a.outprefix}.log"))
+    log.info("%s", command_line(sys.argv[1:] if argv is None else argv))
     spark = SparkSession.builder.appName("cladeflow").getOrCreate()
     (run_profile if a.command == "profile" else run_index)(spark, a)
     return 0

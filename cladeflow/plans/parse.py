@@ -85,12 +85,14 @@ def parse_alignments(records: DataFrame, refs: DataFrame, cfg: ProfileConfig) ->
     paired = F.lit(cfg.is_paired)
     mapped = (F.col("ref_name") != "*") & (F.col("cigar") != "*") & ~(paired & (F.col("rnext") != "="))
     usable = mapped & (F.coalesce(F.col("ref_len"), F.lit(0)) > 0) & (F.col("seq_len") > 0) & (F.coalesce("asm", F.lit("")) != "") & F.col("species_taxid").isNotNull() & (F.coalesce(F.col("asm_len"), F.lit(0)) > 0)
+    # aligned, but to a reference without a usable name, length or species
+    lost = mapped & (F.col("seq_len") > 0) & ~usable
     counted = usable & ~(paired & (F.col("flag").bitwiseAND(UNMAPPED) != 0))
     kept = usable & ~(paired & (F.col("flag").bitwiseAND(FIRST_MATE) == 0))
     start = F.least("pos", "pnext") if cfg.is_paired else F.col("pos")
     shapes = intervals(start, F.col("seq_len"), F.col("ref_len"), cfg.chunk_flank, F.col("flex_flank"))
     stats = F.when(kept, cigar_stats(F.col("cigar")))
-    out = j.select("read_name", "ordinal", counted.alias("counted"), kept.alias("kept"), "asm", "acc", "strain_taxid", "species_raw", "species_taxid", "genus_taxid", F.col("asm_len").cast("double").alias("asm_len"), F.col("seq_len").alias("mapped_len"), stats.alias("_c"), *[F.when(kept, c).alias(n) for n, c in shapes.items()])
+    out = j.select("read_name", "ordinal", counted.alias("counted"), kept.alias("kept"), F.coalesce(lost, F.lit(False)).alias("lost_reference"), "asm", "acc", "strain_taxid", "species_raw", "species_taxid", "genus_taxid", F.col("asm_len").cast("double").alias("asm_len"), F.col("seq_len").alias("mapped_len"), stats.alias("_c"), *[F.when(kept, c).alias(n) for n, c in shapes.items()])
     return out.select("*", F.col("_c.identity").alias("identity"), F.col("_c.fraction").alias("fraction")).drop("_c")
 
 
@@ -106,3 +108,9 @@ def filter_stats(parsed: DataFrame, cfg: ProfileConfig) -> DataFrame:
     by_len, by_id, by_fraction = F.col("mapped_len") < cfg.mapped_len, F.col("identity") < cfg.identity, F.col("fraction") < cfg.fraction
     count = lambda c: F.count_if(c)
     return k.agg(F.count(F.lit(1)).alias("evaluated"), count(~by_len & ~by_id & ~by_fraction).alias("passed"), count(by_len).alias("filtered_length"), count(~by_len & by_id).alias("filtered_identity"), count(~by_len & ~by_id & by_fraction).alias("filtered_fraction"))
+
+
+def skipped_references(parsed: DataFrame) -> DataFrame:
+    """One row: alignments whose reference has no assembly, length or species to count them for."""
+    lost = F.col("lost_reference") if "lost_reference" in parsed.columns else F.lit(False)
+    return parsed.agg(F.count_if(lost).alias("skipped_reference"))

@@ -71,16 +71,30 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.get("fields", F.lit(0)).alias("genome_id"), size.alias("genome_size"), (F.row_number().over(genome) - 1).alias("contig_idx"), "fields", "seq", "ordinal")
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """A headerless tab-separated file (a folder of one part); for results of bounded size such as profiles."""
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    df.select(F.concat_ws("\t", *text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def _one_file(lines: DataFrame, path: str) -> None:
+    """``lines`` (value) as the file ``path``: written in parallel beside it, the parts then put together in order, in the file
+    system that the path names. The driver streams bytes, it holds no rows."""
+    jvm, session = lines.sparkSession._jvm, lines.sparkSession._jsparkSession
+    conf, fs_path = session.sessionState().newHadoopConf(), jvm.org.apache.hadoop.fs.Path
+    parts, target = fs_path(f"{path}._parts"), fs_path(path)
+    lines.write.mode("overwrite").text(parts.toString())
+    fs = target.getFileSystem(conf)
+    fs.delete(target, True)
+    out = fs.create(target, True)
+    try:
+        for name in sorted(s.getPath().toString() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")):
+            part = fs.open(fs_path(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    fs.delete(parts, True)
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """A large result: one tab-separated part a partition."""
+def write_tsv(df: DataFrame, path: str) -> None:
+    """A headerless tab-separated file, in the order of ``df``."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    df.select(F.concat_ws("\t", *text).alias("value")).write.mode("overwrite").text(path)
+    _one_file(df.select(F.concat_ws("\t", *text).alias("value")), path)
 
 
 def fasta_text(records: DataFrame, header: str = "header", seq: str = "seq", width: int = 60) -> Column:

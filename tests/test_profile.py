@@ -119,7 +119,7 @@ def test_worked_example(spark, files):
 def test_command_line(spark, files, tmp_path):
     out = str(tmp_path / "s")
     cli.main(["profile", "--dmp-dir", str(files / "taxdump"), "--reuse-sam", str(files / "tiny.bam"), "-o", out, "--min-cbreadth", "0", "-k", "--host", "11", "--pathogen-host", str(files / "hosts.tsv")])
-    read = lambda p: [line.split("\t") for line in "".join(open(os.path.join(p, f)).read() for f in sorted(os.listdir(p)) if f.startswith("part-")).splitlines()]
+    read = lambda p: [line.split("\t") for line in open(p).read().splitlines()]
     rows = read(out + ".pathogen.rprofile.txt")
     assert [r[:3] for r in rows] == [["First", "101", "species"]] and float(rows[0][3]) == pytest.approx(8 / 3, abs=1e-4)
     assert rows[0][13:] == ["a;b", "11;12", "flu"]  # 102 is listed but hosted by nobody known: dropped
@@ -248,3 +248,19 @@ def test_scaling(spark):
     refs = spark.createDataFrame([("A|11|101|a|1000|100", 2), ("B|11|102|a|1000|500", 1), ("C|13|103|a|10|20", 3), ("D|14|104|a|10", 0)], "ref_name string, ord long")
     assert {r["taxid"]: r["scale"] for r in parse.scaling(refs).collect()} == {11: 2.0, 101: 10.0, 102: 2.0}
     assert not parse.database_is_subsampled(refs) and parse.database_is_subsampled(refs.where("ord > 0"))
+
+
+def test_files_and_command_line(spark, tmp_path):
+    from cladeflow import cli
+    from cladeflow.sources import tables
+
+    out = str(tmp_path / "x.profile.txt")
+    df = spark.range(1000, numPartitions=7).selectExpr("id", "concat('n', id) AS name", "cast(null AS string) AS nothing")
+    for _ in range(2):  # again over the same file
+        tables.write_tsv(df.orderBy("id"), out)
+        with open(out) as f:
+            assert f.read().splitlines() == [f"{i}\tn{i}\t" for i in range(1000)]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["x.profile.txt"]
+    assert cli.command_line(["profile", "-o", "a b", "--strain"]) == "cladeflow profile -o 'a b' --strain"
+    a = cli.parser().parse_args(["profile", "-o", "x", "--reuse-sam", "y.sam"])
+    assert a.dmp_dir == cli.DMP_DIR
