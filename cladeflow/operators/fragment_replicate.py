@@ -140,11 +140,17 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return a.join(b, ["_task", "_shard", *keys], how).drop("_task", "_shard")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salt: Column | None = None) -> DataFrame:
+def key_loads(df: DataFrame, key: str) -> tuple[list, dict[int, int]]:
+    """``large_keys`` of one column for as many tasks as run at once; the loads add up to the rows of ``df``."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return large_keys(df, [key], tasks, tasks * BUCKETS_PER_TASK)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salt: Column | None = None, loads: tuple[list, dict[int, int]] | None = None) -> DataFrame:
     """Like ``balanced_join`` on one column, for the steps of an iteration: large keys are split and replicated alike, all
-    else is left to a plain join, whose partitions adaptive execution fits to the size."""
+    else is left to a plain join, whose partitions adaptive execution fits to the size. ``loads``: ``key_loads`` of ``left``, if known."""
     tasks = left.sparkSession.sparkContext.defaultParallelism
-    large, load = large_keys(left, [key], tasks, tasks * BUCKETS_PER_TASK)
+    large, load = key_loads(left, key) if loads is None else loads
     if not large:
         return left.join(right, key, how)
     piece = max(1.0, sum(load.values()) / tasks) * HEAVY_SHARE

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.operators.fragment_replicate import spread_join
+from cladeflow.operators.fragment_replicate import key_loads, spread_join
 from cladeflow.session import discard, store
 
 
@@ -75,12 +75,14 @@ def _rounds(links: DataFrame, held: Column, join_held) -> tuple[DataFrame, DataF
     first = links.select("node", "parent", F.col("parent").alias("top"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), held.alias("held"))
     first = store(first)
     done, open_ = first.where(F.col("top").isNull()), first.where(F.col("top").isNotNull())
-    left = open_.count()
+    loads = key_loads(open_, "top")
+    left = sum(loads[1].values())
     while left:
         above = done.unionByName(open_).select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("root").alias("_root"), F.col("held").alias("_held"))
-        moved = spread_join(open_, above, "top", salt=F.xxhash64("node"))
+        moved = spread_join(open_, above, "top", salt=F.xxhash64("node"), loads=loads)
         moved = store(moved.select("node", "parent", F.col("_top").alias("top"), F.col("_root").alias("root"), join_held("_held", "held").alias("held")))
-        still = moved.where(F.col("top").isNotNull()).count()
+        loads = key_loads(moved.where(F.col("top").isNotNull()), "top")
+        still = sum(loads[1].values())
         if still == left:
             break
         done, open_, left = done.unionByName(moved.where(F.col("top").isNull())), moved.where(F.col("top").isNotNull()), still
