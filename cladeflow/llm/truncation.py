@@ -4,9 +4,9 @@
    and, for the corpus, how often each word closes a line (``terminality``).
 2. Exact copies form a class; its member with the smallest id stands for all of them.
 3. *Near-copies*: the bands of a text's widest beginning meet those of any text that begins alike, so the share that a cut
-   left doesn't matter. Bands that no other text has go first. Within such a bucket a text is paired with the longest one that
-   holds the anchor of its last shingles; the longest comes from a partial aggregate by bucket and anchor, so a bucket of any
-   size makes one pair a text and band, and the longest text of a bucket hides no other pair. Only texts in buckets are read again.
+   left doesn't matter. Bands that no other text has go first. Within such a bucket a text is paired with every longer one that
+   goes on behind its last shingle, without which no alignment ends early; the longest of them is tried first, and only what it
+   doesn't settle meets the others. Only texts in buckets are read again.
 4. *Alignment*: a pair is verified if at least ``CONTAINED`` of the shorter text's shingles (without its last,
    perhaps broken word or a mark) stand in the part of the longer text that it aligns to. The shorter one ends early
    if the longer one goes on behind its last shingle.
@@ -47,8 +47,10 @@ PRIOR_WEIGHT, BEGUN = 3.0, 0.05
 #: Neighbouring lengths on either side that tell how many texts of a length to expect; chance of a field limit seen in error.
 AROUND, CHANCE = 16, 1e-6
 
-#: Text that is taken apart at a time, in bytes.
-PART_BYTES = 24 << 20
+#: Text that is taken apart at a time, in bytes; rows that are handed on at a time.
+PART_BYTES, ROWS = 24 << 20, 1 << 16
+#: Words at a text's end among which its last complete shingle is: a broken word and a mark may follow.
+WORDS_BEHIND = minhash.WORDS + 2
 
 _SCAN = "doc_id long, source string, h1 long, h2 long, size long, keys array<long>, state string, region string, token string, seen long, closed long"
 _TYPES = [("doc_id", pa.int64()), ("source", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("state", pa.string()), ("region", pa.string()), ("token", pa.string()), ("seen", pa.int64()), ("closed", pa.int64())]
@@ -139,33 +141,85 @@ def texts_of(docs: DataFrame, members: DataFrame, text: str = "text", doc_id: st
     return cut_lineage(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the anchors (place, shingle) and the one of its last shingles before a perhaps broken word."""
-    held = pa.struct([("at", pa.int32()), ("gram", pa.int64())])
+def _last_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text its last shingle before a perhaps broken word, null if there is none, and that word."""
+    for batch in batches:
+        last, broken = [], []
+        for text in batch.column(1).to_pylist():
+            words = (text or "").rsplit(None, WORDS_BEHIND)[-WORDS_BEHIND:]
+            k = _complete_words(text, len(words)) if words else 0
+            last.append(" ".join(words[k - minhash.WORDS : k]) if k >= minhash.WORDS else None)
+            broken.append(strip_mark(text).rsplit(None, 1)[-1] if last[-1] else None)
+        words = minhash.split(pa.array(last, pa.string()))
+        grams, _ = minhash.shingle_hashes(words.hashes(), words.by_text)
+        at = iter(grams.view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else next(at) for t in last], pa.int64()), pa.array(broken, pa.string())], ["doc_id", "gram", "broken"])
+
+
+def _followed_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text all shingles but the last one; ``ending`` is the word behind it where that is the text's last one, else null."""
     for batch in _parts(batches):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
         words = minhash.split(batch.column(1))
         grams, off = minhash.shingle_hashes(words.hashes(), words.by_text)
-        places, signed = minhash.anchors(grams, off), grams.view(np.int64)
-        at = np.searchsorted(places, off)
-        own = (places - np.repeat(off[:-1], np.diff(at))).astype(np.int32)
-        cut = [_complete_words(t, int(k)) for t, k in zip(texts, np.diff(words.by_text))]
-        last = [minhash.anchor_before(grams, int(a), int(a + c - minhash.WORDS + 1)) for a, c in zip(off[:-1], cut)]
-        anchors = pa.ListArray.from_arrays(at.astype(np.int32), pa.StructArray.from_arrays([pa.array(own), pa.array(signed[places])], fields=list(held)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([None if i is None else int(signed[i]) for i in last], pa.int64()), anchors], ["doc_id", "size", "last_anchor", "anchors"])
+        n = np.diff(off)
+        followed = np.ones(len(grams), bool)
+        followed[off[1:][n > 0] - 1] = False
+        ids, signed = np.repeat(batch.column(0).to_numpy(), n)[followed], grams.view(np.int64)[followed]
+        owner = np.full(len(grams), -1)
+        owner[off[1:][n > 1] - 2] = np.flatnonzero(n > 1)
+        final = words.codes[words.by_text[1:] - 1] if len(words.codes) else np.empty(0, np.int64)
+        owner = owner[followed]
+        for a in range(0, len(ids), ROWS):
+            ending = pa.array([words.vocabulary[final[k]] if k >= 0 else None for k in owner[a : a + ROWS].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + ROWS]), pa.array(signed[a : a + ROWS]), ending], ["doc_id", "gram", "ending"])
+
+
+def places(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(short_id, spot, short_size, broken) and (long_id, spot, long_size, ending), checkpointed. A spot is a bucket and a text's last
+    shingle; there the first table has the texts that close with it and whose own bucket that is, the second one all of the bucket that go on behind it."""
+    texts = texts.select("doc_id", "text", F.col("size").cast("long").alias("size"))
+    sizes = texts.select("doc_id", "size")
+    spot = F.xxhash64("key", "gram").alias("spot")
+    last = texts.mapInArrow(_last_shingles, "doc_id long, gram long, broken string").where(F.col("gram").isNotNull())
+    short = cut_lineage(members.where("own").select("doc_id", "key").join(last.join(sizes, "doc_id"), "doc_id").select(F.col("doc_id").alias("short_id"), "gram", spot, F.col("size").alias("short_size"), "broken"))
+    asked = broadcast_if_small(cut_lineage(short.select("gram").distinct()))
+    rows = texts.select("doc_id", "text").mapInArrow(_followed_shingles, "doc_id long, gram long, ending string").join(asked, "gram", "left_semi")
+    # a shingle that stands in a text several times is followed by the most that any of them is
+    held = rows.groupBy("doc_id", "gram").agg(F.when(F.count("ending") == F.count(F.lit(1)), F.max("ending")).alias("ending"))
+    spots = short.groupBy("spot").agg(F.min("short_size").alias("_least"))
+    long = members.select("doc_id", "key").join(held.join(sizes, "doc_id"), "doc_id").select(F.col("doc_id").alias("long_id"), spot, F.col("size").alias("long_size"), "ending")
+    return short.drop("gram"), cut_lineage(long.join(spots, "spot").where(F.col("long_size") > F.col("_least")).drop("_least"))
+
+
+def _pairs(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short_id, long_id), checkpointed: the rows of ``places`` that meet. Where one word alone follows, it must go on behind the
+    broken one; that is decided by distinct words."""
+    longer, ids = F.col("short_size") < F.col("long_size"), ("short_id", "long_id")
+    on = spread_join(short, long.where(F.col("ending").isNull()).drop("ending"), "spot", salt=F.xxhash64("short_id")).where(longer).select(*ids)
+    ends = long.where(F.col("ending").isNotNull())
+    grown = short.select("spot", "broken").distinct().join(ends.select("spot", "ending").distinct(), "spot").where(F.col("ending").startswith(F.col("broken")) & (F.col("ending") != F.col("broken")))
+    inside = short.join(grown, ["spot", "broken"]).join(ends, ["spot", "ending"]).where(longer).select(*ids)
+    return cut_lineage(on.unionByName(inside).distinct())
 
 
 def candidate_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(short_id, long_id): each text of ``members`` (see ``buckets``) with the longest ones that begin alike and hold its last anchor."""
-    anchored = cut_lineage(texts.select("doc_id", "text", F.col("size").cast("long").alias("size")).mapInArrow(_anchors, "doc_id long, size long, last_anchor long, anchors array<struct<at:int,gram:long>>"))
-    short = members.where("own").join(anchored.select("doc_id", F.col("last_anchor").alias("gram"), F.col("size").alias("short_size")), "doc_id").where(F.col("gram").isNotNull())
-    # a text whose widest beginning is W words ends before 2 W; some slack for beginnings of other length
-    width = F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in minhash.WIDTHS]), F.col("width") + 1)
-    near = F.filter("anchors", lambda x: (x["at"] >= width / 2 - 64) & (x["at"] <= width * 3 + 64))
-    long = members.select("doc_id", "key", "width").join(anchored.select("doc_id", "size", "anchors"), "doc_id").select("doc_id", "size", "key", F.explode(near).alias("x"))
-    hubs = long.groupBy("key", F.col("x.gram").alias("gram")).agg(F.max(F.struct("size", "doc_id")).alias("hub")).select("key", "gram", F.col("hub.doc_id").alias("long_id"), F.col("hub.size").alias("long_size"))
-    pairs = short.join(hubs, ["key", "gram"]).where((F.col("doc_id") != F.col("long_id")) & (F.col("short_size") < F.col("long_size")))
-    return cut_lineage(pairs.select(F.col("doc_id").alias("short_id"), "long_id").distinct())
+    """(short_id, long_id): each text of ``members`` (see ``buckets``) with every longer one that begins alike and goes on behind its
+    last shingle, wherever that stands. What ``aligned_early`` verifies is among them, whatever else a bucket holds."""
+    return _pairs(*places(members, texts))
+
+
+def near_copies(members: DataFrame, texts: DataFrame, done: DataFrame) -> DataFrame:
+    """(doc_id, inside): what ``aligned_early`` finds in ``candidate_pairs``. The longest text of each spot is tried first, and what it
+    settles needs no other pair, so many cut copies of a text don't meet each other; all else meets all its candidates. ``done``: (doc_id) of
+    the texts that a pair settles only inside a word."""
+    short, long = places(members, texts)
+    most = long.groupBy("spot").agg(F.max(F.struct(F.col("ending").isNull().alias("on"), "long_size", "long_id", "ending")).alias("m")).select("spot", "m.long_size", "m.long_id", "m.ending")
+    tried = _pairs(short, most)
+    early = cut_lineage(aligned_early(texts, tried))
+    settled = early.where("inside").select("doc_id").unionByName(early.where(~F.col("inside")).select("doc_id").join(done, "doc_id", "left_anti"))
+    others = _pairs(short.join(settled.withColumnRenamed("doc_id", "short_id"), "short_id", "left_anti"), long).join(tried, ["short_id", "long_id"], "left_anti")
+    found = early.unionByName(aligned_early(texts, cut_lineage(others)))
+    return found.groupBy("doc_id").agg(F.max("inside").alias("inside"))
 
 
 def _early(a: np.ndarray, b: np.ndarray, short: str, long: str) -> str | None:
@@ -276,9 +330,9 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     reps = members.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
     together = buckets(scanned, reps)
     texts = texts_of(docs, together, text, doc_id)
-    early = cut_lineage(aligned_early(texts, candidate_pairs(together, texts))).withColumn("_early", F.lit(True))
     limit = limited(members).select(F.col("class_id").alias("doc_id")).withColumn("_limit", F.lit(True))
     closes = cut_lineage(scanned.where(F.col("seen").isNull()).select("doc_id", "state", "region", "token").join(reps, "doc_id", "left_semi"))
+    early = cut_lineage(near_copies(together, texts, closes.where(F.col("state") == "done").select("doc_id"))).withColumn("_early", F.lit(True))
     scored = terminality(scanned, closes).join(early, "doc_id", "left").join(limit, "doc_id", "left")
     # a near-copy that stops between words may be complete in itself; one that stops inside a word isn't
     aligned = F.col("_early") & (F.col("inside") | ~F.coalesce(F.col("state") == "done", F.lit(False)))

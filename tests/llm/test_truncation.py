@@ -203,6 +203,80 @@ def test_a_hot_bucket_makes_one_pair_a_text_and_band(spark):
     assert pairs.count() <= 400 * minhash.BANDS
 
 
+def family(r):
+    """Texts that begin alike: a whole (1), a copy of it cut between words (2) and three longer ones that hold the copy's end, but not what is before."""
+    same, own = [f"same{k}" for k in range(100)], [f"own{k}" for k in range(120)]
+    docs = {1: same + own, 2: same + own[:60]}
+    docs |= {10 + i: same + [f"w{r.randrange(10**6)}" for _ in range(200 + 10 * i)] + own[46:60] + [f"t{i}x{k}" for k in range(80)] for i in range(3)}
+    return {k: HEAD + " ".join(w) for k, w in docs.items()}
+
+
+def test_longer_texts_with_the_same_end_hide_no_partner(spark):
+    docs = family(random.Random(9))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert truncation.ends_early(docs[2], docs[1]) and not any(truncation.ends_early(docs[2], docs[10 + i]) for i in range(3))
+    assert {(2, 1), (2, 10), (2, 11), (2, 12)} <= {tuple(x) for x in pairs_of(df)[0].collect()}
+    assert {x["doc_id"] for x in truncation.judge(df).collect() if x["by"] == "alignment"} == {2}
+
+
+def test_a_partner_far_behind_and_one_changed_near_the_end_are_kept(spark):
+    """The whole with 500 words put in, and copies with one word changed 7 to 12 words before their end."""
+    r = random.Random(10)
+    docs, want = {}, set()
+    for i in range(8):
+        words = [f"i{i}w{r.randrange(10**6)}" for _ in range(200)]
+        docs[i], copy = " ".join(words), words[:150]
+        if i < 6:
+            copy[-7 - i] = "changed"
+        else:
+            docs[i] = " ".join(words[:110] + [f"in{i}x{k}" for k in range(500)] + words[110:])
+        docs[100 + i] = " ".join(copy)
+        want.add((100 + i, i))
+    assert all(truncation.ends_early(docs[a], docs[b]) for a, b in want)
+    pairs, _ = pairs_of(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert want <= {tuple(x) for x in pairs.collect()}
+
+
+def test_pairs_against_all_of_a_bucket(spark):
+    """Every pair of one bucket that aligns is among the candidates, and trying the longest first finds the same texts as all pairs do."""
+    r = random.Random(11)
+    same, docs = [f"same{k}" for k in range(100)], {}
+    for i in range(12):
+        docs[i] = HEAD + " ".join(same + [f"w{r.randrange(40)}" for _ in range(r.randrange(5, 60))] + ["the", "end", "of", "all", "the", "texts"][: r.randrange(7)])
+        docs[100 + i] = docs[i][: -r.randrange(1, 40)]
+        docs[200 + i] = docs[i][: -r.randrange(1, 40)] + r.choice([" [...]", "…", " (cut)"])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = {(a, b): truncation._early(*truncation._shingles([docs[a], docs[b]]), docs[a], docs[b]) for a in docs for b in docs if len(docs[a]) < len(docs[b])}
+    want = {k: v for k, v in want.items() if v}
+    pairs, texts = pairs_of(df)
+    assert {"between", "inside"} == set(want.values()) and set(want) <= {tuple(x) for x in pairs.collect()}
+    scanned = truncation.scan(df)
+    members = truncation.buckets(scanned, truncation.classes(scanned).where("doc_id = class_id").select("doc_id"))
+    every = {a: any(v == "inside" for (x, _), v in want.items() if x == a) for a, _ in want}
+    for done in ([], sorted(docs)):
+        found = {x["doc_id"]: x["inside"] for x in truncation.near_copies(members, texts, spark.createDataFrame([(i,) for i in done], "doc_id long")).collect()}
+        assert set(found) == set(every) and (not done or found == every)
+
+
+def test_many_copies_meet_the_longest_alone(spark, monkeypatch):
+    words = [f"w{k}" for k in range(180)]
+    docs = [(i, " ".join(words[: 110 + i])) for i in range(60)]
+    verify, asked = truncation.aligned_early, []
+    monkeypatch.setattr(truncation, "aligned_early", lambda texts, pairs: asked.append(pairs.count()) or verify(texts, pairs))
+    by = {x["doc_id"]: x["by"] for x in truncation.judge(spark.createDataFrame(docs, "doc_id long, text string"), check=None).collect()}
+    assert sum(v == "alignment" for v in by.values()) >= 58 and sum(asked) <= 3 * len(docs)
+
+
+def test_last_shingles_are_those_that_alignment_asks_for(spark):
+    texts = ["a b c d e f g h", "a b c d e f [...]", "a b c d e f…", "a b c d e", "a b c d e f", "  a b\n\nc d e f g (cut)", "a b c d e f g\n", "", " \n", None, "…", "a b c d e f \x1c g\x85h\u2028i"]
+    rows = truncation._last_shingles([pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])])
+    got = [x["gram"] for b in rows for x in b.to_pylist()]
+    for t, g in zip(texts, got):
+        grams = truncation._shingles([t or ""])[0]
+        own = grams[: max(0, truncation._complete_words(t or "", len(grams) + minhash.WORDS - 1) - minhash.WORDS + 1)]
+        assert g == (int(own.view(np.int64)[-1]) if len(own) else None)
+
+
 def test_field_limits_by_source(spark):
     r = random.Random(3)
     rows = [(i, "a", r.randrange(100, 3000)) for i in range(2000)] + [(5000 + i, "a", 1500) for i in range(20)] + [(9000 + i, "b", 1500) for i in range(3)]
