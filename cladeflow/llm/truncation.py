@@ -6,7 +6,8 @@
 3. *Near-copies*: the bands of a text's widest beginning meet those of any text that begins alike, so the share that a cut
    left doesn't matter. Bands that no other text has go first. Within such a bucket a text is paired with every longer one that
    goes on behind its last shingle, without which no alignment ends early; the longest of them is tried first, and only what it
-   doesn't settle meets the others. Only texts in buckets are read again.
+   doesn't settle meets the others. One that is complete by its own counts (6.) meets only those that go on inside its last word.
+   Only texts in buckets are read again.
 4. *Alignment*: a pair is verified if at least ``CONTAINED`` of the shorter text's shingles (without its last,
    perhaps broken word or a mark) stand in the part of the longer text that it aligns to. The shorter one ends early
    if the longer one goes on behind its last shingle.
@@ -157,68 +158,73 @@ def _last_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _followed_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text all shingles but the last one; ``ending`` is the word behind it where that is the text's last one, else null."""
+    """Of each text all shingles but the last one, with the word behind them and whether others follow that word (``more``)."""
     for batch in _parts(batches):
         words = minhash.split(batch.column(1))
         grams, off = minhash.shingle_hashes(words.hashes(), words.by_text)
         n = np.diff(off)
-        followed = np.ones(len(grams), bool)
-        followed[off[1:][n > 0] - 1] = False
-        ids, signed = np.repeat(batch.column(0).to_numpy(), n)[followed], grams.view(np.int64)[followed]
-        owner = np.full(len(grams), -1)
-        owner[off[1:][n > 1] - 2] = np.flatnonzero(n > 1)
-        final = words.codes[words.by_text[1:] - 1] if len(words.codes) else np.empty(0, np.int64)
-        owner = owner[followed]
+        left = np.repeat(off[1:], n) - np.arange(len(grams)) - 1  # shingles behind each, as many as words
+        behind = (np.repeat(words.by_text[1:], n) - left)[left > 0]
+        ids, signed, more = np.repeat(batch.column(0).to_numpy(), n)[left > 0], grams.view(np.int64)[left > 0], (left > 1)[left > 0]
+        vocabulary = pa.array(words.vocabulary, pa.string())
         for a in range(0, len(ids), ROWS):
-            ending = pa.array([words.vocabulary[final[k]] if k >= 0 else None for k in owner[a : a + ROWS].tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + ROWS]), pa.array(signed[a : a + ROWS]), ending], ["doc_id", "gram", "ending"])
+            word = vocabulary.take(pa.array(words.codes[behind[a : a + ROWS]]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + ROWS]), pa.array(signed[a : a + ROWS]), word, pa.array(more[a : a + ROWS])], ["doc_id", "gram", "word", "more"])
 
 
 def places(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(short_id, spot, short_size, broken) and (long_id, spot, long_size, ending), checkpointed. A spot is a bucket and a text's last
-    shingle; there the first table has the texts that close with it and whose own bucket that is, the second one all of the bucket that go on behind it."""
+    """(short_id, spot, short_size, broken) and (long_id, spot, long_size, word, more), checkpointed. A spot is a bucket and a text's last
+    shingle; there the first table has the texts that close with it and whose own bucket that is, the second one all of the bucket
+    that go on behind it, by the word that follows."""
     texts = texts.select("doc_id", "text", F.col("size").cast("long").alias("size"))
     sizes = texts.select("doc_id", "size")
     spot = F.xxhash64("key", "gram").alias("spot")
     last = texts.mapInArrow(_last_shingles, "doc_id long, gram long, broken string").where(F.col("gram").isNotNull())
     short = cut_lineage(members.where("own").select("doc_id", "key").join(last.join(sizes, "doc_id"), "doc_id").select(F.col("doc_id").alias("short_id"), "gram", spot, F.col("size").alias("short_size"), "broken"))
     asked = broadcast_if_small(cut_lineage(short.select("gram").distinct()))
-    rows = texts.select("doc_id", "text").mapInArrow(_followed_shingles, "doc_id long, gram long, ending string").join(asked, "gram", "left_semi")
-    # a shingle that stands in a text several times is followed by the most that any of them is
-    held = rows.groupBy("doc_id", "gram").agg(F.when(F.count("ending") == F.count(F.lit(1)), F.max("ending")).alias("ending"))
+    rows = texts.select("doc_id", "text").mapInArrow(_followed_shingles, "doc_id long, gram long, word string, more boolean").join(asked, "gram", "left_semi")
+    held = rows.groupBy("doc_id", "gram", "word").agg(F.max("more").alias("more"))
     spots = short.groupBy("spot").agg(F.min("short_size").alias("_least"))
-    long = members.select("doc_id", "key").join(held.join(sizes, "doc_id"), "doc_id").select(F.col("doc_id").alias("long_id"), spot, F.col("size").alias("long_size"), "ending")
+    long = members.select("doc_id", "key").join(held.join(sizes, "doc_id"), "doc_id").select(F.col("doc_id").alias("long_id"), spot, F.col("size").alias("long_size"), "word", "more")
     return short.drop("gram"), cut_lineage(long.join(spots, "spot").where(F.col("long_size") > F.col("_least")).drop("_least"))
 
 
-def _pairs(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(short_id, long_id), checkpointed: the rows of ``places`` that meet. Where one word alone follows, it must go on behind the
-    broken one; that is decided by distinct words."""
-    longer, ids = F.col("short_size") < F.col("long_size"), ("short_id", "long_id")
-    on = spread_join(short, long.where(F.col("ending").isNull()).drop("ending"), "spot", salt=F.xxhash64("short_id")).where(longer).select(*ids)
-    ends = long.where(F.col("ending").isNotNull())
-    grown = short.select("spot", "broken").distinct().join(ends.select("spot", "ending").distinct(), "spot").where(F.col("ending").startswith(F.col("broken")) & (F.col("ending") != F.col("broken")))
-    inside = short.join(grown, ["spot", "broken"]).join(ends, ["spot", "ending"]).where(longer).select(*ids)
-    return cut_lineage(on.unionByName(inside).distinct())
+def _between(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short_id, long_id) of the rows of ``places`` that meet, more than one word following."""
+    on = long.where("more").select("spot", "long_id", "long_size").distinct()
+    return spread_join(short, on, "spot", salt=F.xxhash64("short_id")).where(F.col("short_size") < F.col("long_size")).select("short_id", "long_id")
+
+
+def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short_id, long_id) of the rows of ``places`` that meet, the broken word being a beginning of the one that follows; that is
+    decided by distinct words."""
+    grown = short.select("spot", "broken").distinct().join(long.select("spot", "word").distinct(), "spot").where(F.col("word").startswith(F.col("broken")) & (F.col("word") != F.col("broken")))
+    return short.join(grown, ["spot", "broken"]).join(long, ["spot", "word"]).where(F.col("short_size") < F.col("long_size")).select("short_id", "long_id")
 
 
 def candidate_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(short_id, long_id): each text of ``members`` (see ``buckets``) with every longer one that begins alike and goes on behind its
     last shingle, wherever that stands. What ``aligned_early`` verifies is among them, whatever else a bucket holds."""
-    return _pairs(*places(members, texts))
+    short, long = places(members, texts)
+    return cut_lineage(_between(short, long).unionByName(_inside(short, long)).distinct())
 
 
 def near_copies(members: DataFrame, texts: DataFrame, done: DataFrame) -> DataFrame:
-    """(doc_id, inside): what ``aligned_early`` finds in ``candidate_pairs``. The longest text of each spot is tried first, and what it
-    settles needs no other pair, so many cut copies of a text don't meet each other; all else meets all its candidates. ``done``: (doc_id) of
-    the texts that a pair settles only inside a word."""
+    """(doc_id, inside): the texts of which ``aligned_early`` verifies one of the ``candidate_pairs``. Those of ``done`` (doc_id) count
+    only if they stop inside a word, and meet only texts that say so. The longest text of a spot, and of each word that follows there, is
+    tried first; what it settles needs no other pair, so many cut copies of a text don't meet each other; all else meets all its candidates."""
     short, long = places(members, texts)
-    most = long.groupBy("spot").agg(F.max(F.struct(F.col("ending").isNull().alias("on"), "long_size", "long_id", "ending")).alias("m")).select("spot", "m.long_size", "m.long_id", "m.ending")
-    tried = _pairs(short, most)
-    early = cut_lineage(aligned_early(texts, tried))
-    settled = early.where("inside").select("doc_id").unionByName(early.where(~F.col("inside")).select("doc_id").join(done, "doc_id", "left_anti"))
-    others = _pairs(short.join(settled.withColumnRenamed("doc_id", "short_id"), "short_id", "left_anti"), long).join(tried, ["short_id", "long_id"], "left_anti")
-    found = early.unionByName(aligned_early(texts, cut_lineage(others)))
+    done = cut_lineage(short.select("short_id").distinct().join(done.select(F.col("doc_id").alias("short_id")), "short_id", "left_semi"))
+    top = F.max(F.struct("long_size", "long_id")).alias("m")
+    widest = long.where("more").groupBy("spot").agg(top).select("spot", "m.long_size", "m.long_id", F.lit(True).alias("more"))
+    by_word = long.groupBy("spot", "word").agg(top).select("spot", "word", "m.long_size", "m.long_id")
+    tried = cut_lineage(_between(short.join(done, "short_id", "left_anti"), widest).unionByName(_inside(short, by_word)).distinct())
+    early = cut_lineage(aligned_early(texts, tried).withColumnRenamed("doc_id", "short_id"))
+    settled = early.where("inside").select("short_id").unionByName(early.where(~F.col("inside")).select("short_id").join(done, "short_id", "left_anti"))
+    open_ = cut_lineage(short.join(settled, "short_id", "left_anti"))
+    rest = _between(open_.join(done, "short_id", "left_anti"), long).unionByName(_inside(open_, long)).distinct()
+    rest = cut_lineage(rest.join(tried, ["short_id", "long_id"], "left_anti"))
+    found = early.select(F.col("short_id").alias("doc_id"), "inside").unionByName(aligned_early(texts, rest))
     return found.groupBy("doc_id").agg(F.max("inside").alias("inside"))
 
 
