@@ -25,3 +25,20 @@ def test_all_certain_taxa_against_sql(spark, db, name):  # noqa: F811
     assert canon(map(tuple, df.select(*order).collect())) == canon(want)
     if name == "class_support_all":
         assert any(r["ok"] for r in df.where("taxid % 2 = 1").collect())
+
+
+def test_numbered_classes_are_the_same_classes(spark):
+    from cladeflow.plans import ambiguity
+
+    reads = {None: (1, 2), "a": (1, 2), "b": (3,), "c": (2, 1, 4), "d": (1, 2), "hot": tuple(range(10, 2010))}
+    best = spark.createDataFrame([(r, t, "species", 0.1, 10) for r, ts in reads.items() for t in ts], "read_name string, taxid long, rank string, depth double, mapped_len long")
+    rows, classes = ambiguity.numbered(best)
+    assert dict(rows.dtypes)["class"] == "bigint"  # no set of 2,000 in each of the 2,000 rows of a read
+    sets = {r["class"]: tuple(r["members"]) for r in classes.collect()}
+    assert sorted(sets.values()) == [(1, 2), (1, 2, 4), reads["hot"]]
+    got = {(r["read_name"], r["taxid"], sets.get(r["class"], (r["taxid"],))) for r in rows.collect()}
+    assert got == {(r["read_name"], r["taxid"], tuple(r["class"])) for r in ambiguity.with_class(best).collect()} and rows.count() == best.count()
+    plain = ambiguity.with_class(best)
+    assert sorted(map(tuple, ambiguity.certain(rows).collect())) == sorted(map(tuple, ambiguity.certain(plain).collect()))
+    count = lambda df, name: sorted((name(r["class"]), r["taxid"], r["n"], r["n_ok"], r["size"]) for r in ambiguity.support(df, spark.createDataFrame([(1,), (4,)], "taxid long")).collect())
+    assert count(ambiguity.class_members(rows), sets.get) == count(ambiguity.class_members(plain), tuple)
