@@ -1,7 +1,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from cladeflow.plans import profile
 from cladeflow.queries import profiling
 from tests.test_queries import DIR, canon, db  # noqa: F401
 
@@ -42,3 +44,30 @@ def test_numbered_classes_are_the_same_classes(spark):
     assert sorted(map(tuple, ambiguity.certain(rows).collect())) == sorted(map(tuple, ambiguity.certain(plain).collect()))
     count = lambda df, name: sorted((name(r["class"]), r["taxid"], r["n"], r["n_ok"], r["size"]) for r in ambiguity.support(df, spark.createDataFrame([(1,), (4,)], "taxid long")).collect())
     assert count(ambiguity.class_members(rows), sets.get) == count(ambiguity.class_members(plain), tuple)
+
+
+def _called(spark, which):
+    """``which`` on reads of a shared class and of one that went to an ancestor, with classes as sets and as numbers."""
+    from cladeflow.plans import ambiguity, em
+    from cladeflow.sources.tables import Taxonomy
+
+    ids = spark.createDataFrame([(t, 1, "species", f"n{t}") for t in (2, 3, 4, 5, 6)], "taxid long, parent_taxid long, rank string, sci_name string")
+    none = spark.createDataFrame([], "old_taxid long, new_taxid long")
+    tax = Taxonomy(ids.select("taxid", "parent_taxid", "rank"), ids.select("taxid", "sci_name"), none, none.select(F.col("old_taxid").alias("taxid")))
+    reads = {"a": (2,), "b": (2, 3), "c": (4, 5), "d": (2, 3)}
+    best = spark.createDataFrame([(r, t, "species", 0.1, 10) for r, ts in reads.items() for t in ts], "read_name string, taxid long, rank string, depth double, mapped_len long")
+    out = []
+    for rows, classes in ((ambiguity.with_class(best), None), ambiguity.numbered(best)):
+        key = {(2, 3): [2, 3], (4, 5): [4, 5]} if classes is None else {tuple(r["members"]): r["class"] for r in classes.collect()}
+        kind = "array<bigint>" if classes is None else "bigint"
+        shares = spark.createDataFrame([(key[(2, 3)], 2, 0.75), (key[(2, 3)], 3, 0.25)], f"class {kind}, taxid long, fraction double")
+        up = spark.createDataFrame([(key[(4, 5)], 6)], f"class {kind}, lca long")
+        result = em.EmResult(None, shares, 1, True)
+        args = (rows, result, up, tax) if which is profile.strain_classification else (rows, result, shares.select("class").distinct(), up, tax)
+        out.append(sorted(map(tuple, which(*args, *([] if classes is None else [classes])).collect())))
+    return out
+
+
+def test_classification_by_numbers(spark):
+    by_set, by_number = _called(spark, profile.classification)
+    assert by_set == by_number == [("a", 2, "species", "2", "1"), ("b", 2, "species", "2;3", "0.75;0.25"), ("c", 6, "species", "4;5", "1"), ("d", 2, "species", "2;3", "0.75;0.25")]
