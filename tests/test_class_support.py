@@ -71,3 +71,8 @@ def _called(spark, which):
 def test_classification_by_numbers(spark):
     by_set, by_number = _called(spark, profile.classification)
     assert by_set == by_number == [("a", 2, "species", "2", "1"), ("b", 2, "species", "2;3", "0.75;0.25"), ("c", 6, "species", "4;5", "1"), ("d", 2, "species", "2;3", "0.75;0.25")]
+
+
+def test_strain_classification_by_numbers(spark):
+    by_set, by_number = _called(spark, profile.strain_classification)
+    assert by_set == by_number and ("c", "n6", 6, "species", "n4;n5", "4;5", "1") in by_number and len(by_number) == 4
